@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, quality_rules
+from . import chat_format, decontaminate, near_dedup, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_chat_formatting": chat_format.op2_chat_formatting,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
+    "op8_minhash_near_dedup": near_dedup.op8_minhash_near_dedup,
 }
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_formatting": chat_format.ORACLE,
+    "op5_substring_dedup": substring_dedup.ORACLE,
     "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op8_minhash_near_dedup": near_dedup.ORACLE,
 }
