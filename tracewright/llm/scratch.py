@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,21 @@ def root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tracewright-{context.applicationId}"
 
 
+_scope: list[str] = []
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables kept inside go to a folder of this name, for `clear`."""
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
 def folder(spark: SparkSession, label: str) -> str:
-    return f"{root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    return "/".join([root(spark), *_scope, f"{label}-{uuid.uuid4().hex[:12]}"])
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
@@ -33,9 +48,9 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete the tables kept so far. Call it only when what was made from them has been written elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root(spark))
+def clear(spark: SparkSession, name: str) -> None:
+    """Delete a scope's tables, or one folder. Call it only when what was made from them has been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name if name.startswith(root(spark)) else f"{root(spark)}/{name}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
