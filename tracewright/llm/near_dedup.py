@@ -36,7 +36,7 @@ from . import words as W
 SHINGLE, PERCENT = 4, 80
 ROWS, BANDS = 5, 40
 SPACE_BITS = 20
-BLOCK = 64
+BLOCK = 128
 _table: list[np.ndarray] = []
 
 
@@ -118,7 +118,7 @@ def _sets(n: int):
                         rows.append(i + d)
                         shingles.append(own.tobytes())
                 taken = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column("set_key"), taken.column("cluster"), taken.column("members"), pa.array(shingles, pa.binary())], ["set_key", "cluster", "members", "shingles"])
+                yield pa.RecordBatch.from_arrays([taken.column("node"), taken.column("cluster"), taken.column("members"), pa.array(shingles, pa.binary())], ["node", "cluster", "members", "shingles"])
 
     return run
 
@@ -141,7 +141,7 @@ def linked_groups(sets: list[np.ndarray], percent: int, block: np.ndarray | None
     both = np.zeros((m, m), dtype=np.float32)
     if len(column):
         column = np.cumsum(np.concatenate([[0], (column[1:] != column[:-1]).astype(np.int64)]))
-        step = max(256, 4_000_000 // m)
+        step = min(max(256, 4_000_000 // m), int(column[-1]) + 1)
         bounds = np.searchsorted(column, np.arange(0, column[-1] + 1 + step, step))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b > a:
@@ -166,8 +166,8 @@ def linked_groups(sets: list[np.ndarray], percent: int, block: np.ndarray | None
 
 
 def _verify(percent: int):
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes]]]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "unit", "set_key", "shingles")), strict=True))
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "unit", "node", "shingles")), strict=True))
         for _, own in groupby(rows, key=lambda r: r[:2]):
             yield list({key: shingles for _, _, key, shingles in own}.items())
 
@@ -181,9 +181,9 @@ def _verify(percent: int):
                 a += [least] * len(others)
                 b += others
             if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -191,7 +191,7 @@ def _verify(percent: int):
 def _units(block: int):
     """The pairs of blocks that hold a class: one unit for a cluster of one block; no two classes miss each other."""
     blocks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("set_key"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     return blocks, own, other
 
@@ -202,23 +202,24 @@ def find_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
     keyed = rows.withColumn("row_key", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = scratch.keep(keyed.mapInArrow(_features(shingle), f"doc_id {kind}, row_key long, n_shingles long, set_key binary, bands array<long>"), "near-features")
-    classes = scratch.keep(features.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "near-classes")
+    classes = scratch.keep(features.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
-    banded = classes.select("set_key", F.explode("bands").alias("band"))
-    heads = scratch.keep(banded.groupBy("band").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head"), "near-heads")
-    edges = banded.join(heads, "band").where("set_key <> head").select(F.col("head").alias("a"), F.col("set_key").alias("b"))
-    clusters = components.connected(edges, "near-clusters").select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    heads = scratch.keep(banded.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head"), "near-heads")
+    edges = banded.join(heads, "band").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    clusters = components.connected(edges, "near-clusters").withColumnRenamed("component", "cluster")
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster")
-    wanted = scratch.keep(sized.join(classes.select("set_key", F.col("first_id").alias("doc_id")), "set_key").where("doc_id is not null"), "near-wanted")
+    wanted = scratch.keep(sized.join(classes.select("node", "set_key", F.col("first_id").alias("doc_id")), "node").where("doc_id is not null"), "near-wanted")
 
-    with_sets = rows.join(wanted, "doc_id").mapInArrow(_sets(shingle), "set_key binary, cluster binary, members long, shingles binary")
+    # Texts meet the wanted ids by a merge join at every size: the ids grow with the documents, so they are never broadcast.
+    with_sets = rows.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(shingle), "node long, cluster long, members long, shingles binary")
     _, own, other = _units(block)
-    paired = with_sets.withColumn("own", own).withColumn("other", other).withColumn("unit", F.least("own", "other") * 65536 + F.greatest("own", "other"))
-    dealt = paired.select("cluster", "unit", "set_key", "shingles").repartition("cluster", "unit").sortWithinPartitions("cluster", "unit")
-    links = dealt.mapInArrow(_verify(percent), "a binary, b binary")
+    paired = with_sets.withColumn("own", own).withColumn("other", other).withColumn("unit", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
+    dealt = paired.select("cluster", "unit", "node", "shingles").repartition("cluster", "unit").sortWithinPartitions("cluster", "unit")
+    links = dealt.mapInArrow(_verify(percent), "a long, b long")
     joined = components.connected(links, "near-links")
 
-    grouped = classes.select("set_key", "first_id", "copies").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    grouped = classes.select("node", "set_key", "first_id", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("n"))
     named = scratch.keep(grouped.join(least.where("n > 1"), "component").select("set_key", "component_id"), "near-named")
     return features.select("doc_id", "row_key", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
