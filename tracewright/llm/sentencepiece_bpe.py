@@ -7,7 +7,7 @@ merges can make, and are the same on every machine.
 
 Pieces never run from a word into the next space, so a text falls apart into chunks (spaces, then a word) that are encoded
 alone. Each occurrence of a chunk draws one of ``VARIANTS`` segmentations by a keyed hash of (seed, document, place); a worker
-remembers segmentations, at most ``REMEMBERED`` at a time. Without dropout the ids are those of the sentencepiece library.
+remembers segmentations, twice ``REMEMBERED`` at most. Without dropout the ids are those of the sentencepiece library.
 
 Lossless: characters without a piece, and U+2581 itself (which stands for the space), are spelled in byte pieces; decoding gives
 back the exact text. A null text is encoded as an empty one, without pieces; a null doc_id draws as 0. Repeated rows are encoded
@@ -31,7 +31,7 @@ from . import words as W
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 7, 4
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 SPACE = "▁"
 SHORT = 48
 NONE = 1 << 30
@@ -73,6 +73,18 @@ class Pieces:
             raise ValueError("a piece of this model runs into the next space")
         self.chunk = re.compile(f"{SPACE}*[{re.escape(''.join(inside))}]+|{SPACE}+|[^{SPACE}]", re.S)
 
+        self.singles = np.full(0x110000, -1, dtype=np.int64)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.singles[ord(piece)] = i
+        joins = {}
+        for piece, i in self.ids.items():
+            for k in range(1, len(piece)):
+                a, b = self.ids.get(piece[:k]), self.ids.get(piece[k:])
+                if a is not None and b is not None:
+                    joins[a << 32 | b] = (self.ranks[piece], i)
+        self._tabulate(joins)
+
     def spell(self, symbol: str) -> list[int]:
         known = self.ids.get(symbol)
         return [known] if known is not None else [self.byte_ids[b] for b in symbol.encode()]
@@ -133,6 +145,84 @@ class Pieces:
                     heappush(agenda, (now[h], h))
         return [s for s in symbols if s]
 
+    def _tabulate(self, joins: dict[int, tuple[int, int]]) -> None:
+        """The pairs that make a piece, as an open-addressed table, at most a quarter full."""
+        self.table_bits = max(4, (4 * len(joins)).bit_length())
+        self.table_keys = np.full(1 << self.table_bits, -1, dtype=np.int64)
+        self.table_values = np.full(1 << self.table_bits, NONE << 32, dtype=np.int64)  # rank, then id
+        for key, (rank, i) in joins.items():
+            at = (key * 0x9E3779B97F4A7C15 & _M) >> (64 - self.table_bits)
+            while self.table_keys[at] >= 0:
+                at = (at + 1) & (len(self.table_keys) - 1)
+            self.table_keys[at], self.table_values[at] = key, rank << 32 | i
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the pieces that pairs of ids make; NONE where they make none."""
+        key = a << 32 | b
+        at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.table_bits)).astype(np.int64)
+        there = self.table_keys[at]
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.table_keys) - 1)
+            there = self.table_keys[at[open_]]
+            open_ = open_[(there != key[open_]) & (there >= 0)]
+        value = np.where(self.table_keys[at] == key, self.table_values[at], NONE << 32)
+        return value >> 32, value & 0xFFFFFFFF
+
+    def merge_many(self, chunks: list[str], dropout: float, keys: np.ndarray) -> list[bytes]:
+        """What `merge` gives for each chunk and its key, as 16-bit ids, for all chunks side by side: a round takes the next
+        candidate of every chunk's agenda."""
+        raw = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype=np.uint32)
+        size = np.array([len(c) for c in chunks], dtype=np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        ids = self.singles[raw]
+        n, most = len(ids), int(dropout * (1 << 64))
+        word = np.repeat(np.arange(len(chunks)), size)
+        odd = np.unique(word[ids < 0])  # chunks with a character that has no piece of its own
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[begin[1:] - 1], left[begin[:-1]] = n, -1
+        rank, alive = np.full(n, NONE, dtype=np.int64), np.ones(n, dtype=bool)
+        inner = np.flatnonzero((right < n) & (ids >= 0))
+        inner = inner[ids[right[inner]] >= 0]
+        rank[inner], _ = self._joined(ids[inner], ids[right[inner]])
+        active = np.arange(len(chunks))
+        held, starts = np.arange(n), begin[:-1]  # the places of the active chunks, and where each begins among them
+        while len(active):
+            least = np.minimum.reduceat(rank[held] << 32 | held, starts)
+            going = least >> 32 < NONE
+            if not going.all():
+                active, least = active[going], least[going]
+                sizes = size[active]
+                starts = np.cumsum(sizes) - sizes
+                held = np.repeat(begin[active] - starts, sizes) + np.arange(sizes.sum())
+            i, r = least & 0xFFFFFFFF, least >> 32
+            if not len(i):
+                break
+            if most:
+                x = (keys[active] ^ ((i - begin[active]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + r.astype(np.uint64))) * np.uint64(0xBF58476D1CE4E5B9)
+                skipped = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) < np.uint64(most)
+                rank[i[skipped]] = NONE
+                i = i[~skipped]
+            j = right[i]
+            _, made = self._joined(ids[i], ids[j])
+            ids[i], alive[j], rank[j] = made, False, NONE
+            k = right[j]
+            right[i] = k
+            more = k < n
+            rank[i] = NONE
+            left[k[more]] = i[more]
+            rank[i[more]], _ = self._joined(ids[i[more]], ids[k[more]])
+            h = left[i]
+            some = h >= 0
+            rank[h[some]], _ = self._joined(ids[h[some]], ids[i[some]])
+        counts = np.add.reduceat(alive.astype(np.int64), begin[:-1]) if n else np.zeros(0, np.int64)
+        flat = ids[alive].astype(np.uint16).tobytes()
+        ends = np.concatenate([[0], np.cumsum(counts)]) * 2
+        out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for c in odd.tolist():
+            out[c] = np.array(self.merge(chunks[c], dropout, int(keys[c])), np.uint16).tobytes()
+        return out
+
     def chunks(self, text: str) -> list[tuple[str, bool]] | list[str]:
         """The chunks of a text; one that is U+2581 in the text itself is given as "" and spelled in bytes."""
         if SPACE not in text:
@@ -148,37 +238,70 @@ class Pieces:
 
 
 class Encoder:
-    """Encodes texts; remembers what chunks gave."""
+    """Encodes texts; remembers what chunks gave, in two generations, so that frequent chunks stay."""
 
     def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.pieces, self.dropout, self.seed = pieces, dropout, seed
         self.variants = variants if dropout else 1
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.literal = np.array([pieces.byte_ids[b] for b in SPACE.encode()], np.uint16).tobytes()
-
-    def _segment(self, chunk: str, variant: int) -> bytes:
-        if not chunk:
-            return self.literal
-        key = int.from_bytes(hashlib.blake2b(chunk.encode(), digest_size=8, key=f"{self.seed}:{variant}".encode()).digest(), "little")
-        found = np.array(self.pieces.merge(chunk, self.dropout, key), np.uint16).tobytes()
+        self.salts = np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest(), "little") for v in range(self.variants)], dtype=np.uint64)
+
+    def keys(self, chunks: list[str], variant: int) -> np.ndarray:
+        """The keys of the hash that skips merges, by seed, variant and chunk."""
+        spelled = pa.array(chunks, pa.string())
+        offsets = np.frombuffer(spelled.buffers()[1], dtype=np.int32, count=len(chunks) + 1).astype(np.int64)
+        data = np.frombuffer(spelled.buffers()[2], dtype=np.uint8)[: offsets[-1]]
+        spans = W.Words(data, offsets, offsets[:-1], offsets[1:], offsets, data > 0)
+        return W.mix(W.hash_words(spans) ^ self.salts[variant])
+
+    def _learn(self, missing: list[set[str]]) -> None:
+        """Segment the chunks that no text before had, side by side; very long ones alone."""
         if sum(map(len, self.known)) >= REMEMBERED:
-            for known in self.known:
-                known.clear()
-        if len(chunk) <= 64:
-            self.known[variant][chunk] = found
-        return found
+            self.older, self.known = self.known, [{} for _ in range(self.variants)]
+        for v, chunks in enumerate(missing):
+            known, older = self.known[v], self.older[v]
+            if older:
+                known.update((c, older[c]) for c in chunks if c in older)
+                chunks = chunks - known.keys()
+            if "" in chunks:
+                known[""] = self.literal
+            short = [c for c in chunks if 0 < len(c) <= SHORT]
+            for at in range(0, len(short), 20_000):
+                part = short[at : at + 20_000]
+                known.update(zip(part, self.pieces.merge_many(part, self.dropout, self.keys(part, v)), strict=True))
+            for c in (c for c in chunks if len(c) > SHORT):
+                known[c] = np.array(self.pieces.merge(c, self.dropout, int(self.keys([c], v)[0])), np.uint16).tobytes()
+
+    def encode_many(self, texts: list[str], doc_ids: list[int]) -> list[np.ndarray]:
+        """Ids of texts (16 bits; a model of more pieces needs more). A text's document draws its variants."""
+        out, later, missing = [], [], [set() for _ in range(self.variants)]
+        for at, (text, doc) in enumerate(zip(texts, doc_ids, strict=True)):
+            chunks = self.pieces.chunks(text) if text else []
+            if self.variants == 1:
+                draw = [0] * len(chunks)
+            else:
+                start = W.mix(np.array([(doc * 0x9E3779B97F4A7C15 + self.seed) & _M], dtype=np.uint64))
+                draw = (W.mix(np.arange(len(chunks), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist()
+            known = self.known
+            got = [known[v].get(c) for c, v in zip(chunks, draw, strict=True)]
+            out.append(got)
+            if None in got:
+                gaps = [(k, chunks[k], draw[k]) for k, g in enumerate(got) if g is None]
+                later.append((at, gaps))
+                for _, c, v in gaps:
+                    missing[v].add(c)
+        if later:
+            self._learn(missing)
+        for at, gaps in later:
+            got = out[at]
+            for k, c, v in gaps:
+                got[k] = self.known[v][c]
+        return [np.frombuffer(b"".join(got), np.uint16) for got in out]
 
     def encode(self, text: str, doc_id: int = 0) -> np.ndarray:
-        """Ids of a text (16 bits; a model of more pieces needs more). The document draws the variants."""
-        if not text:
-            return np.zeros(0, np.uint16)
-        chunks, out = self.pieces.chunks(text), []
-        draw = W.mix(np.arange(len(chunks), dtype=np.uint64) + W.mix(np.array([(doc_id * 0x9E3779B97F4A7C15 + self.seed) & _M], dtype=np.uint64)))
-        known = self.known
-        for chunk, variant in zip(chunks, (draw % np.uint64(self.variants)).tolist(), strict=True):
-            ids = known[variant].get(chunk)
-            out.append(self._segment(chunk, variant) if ids is None else ids)
-        return np.frombuffer(b"".join(out), np.uint16)
+        return self.encode_many([text], [doc_id])[0]
 
 
 _ready: dict[tuple, Encoder] = {}
@@ -199,8 +322,8 @@ def _runner(model, dropout: float, seed: int, variants: int):
             texts = W.texts_of(batch.column("text"))
             for i, j in W.slices(texts):
                 ids, counts, digests, same = [], [], [], []
-                for doc, text in zip(batch.column("draw").slice(i, j - i).to_pylist(), texts.slice(i, j - i).to_pylist(), strict=True):
-                    own = encoder.encode(text, doc)
+                listed = texts.slice(i, j - i).to_pylist()
+                for text, own in zip(listed, encoder.encode_many(listed, batch.column("draw").slice(i, j - i).to_pylist()), strict=True):
                     back = encoder.pieces.decode(own.tolist())
                     ids.append(own.tobytes())
                     counts.append(len(own))
