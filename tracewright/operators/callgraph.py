@@ -21,7 +21,7 @@ def _walk(edges: DataFrame, anchors: DataFrame, near: str, far: str, depth: int,
     calls = _calls(edges, confidence)
     steps = calls.select(F.col(near).alias("src"), F.col(far).alias("dst"))
     nodes = reach(anchors.select(F.col("id").alias("source"), F.col("id").alias("node")), steps, max(depth, 1) - 1)
-    return calls.join(nodes, calls[near] == nodes["node"]).select("source", *calls.columns).distinct()
+    return calls.join(nodes, calls[near] == nodes["node"]).select("source", *calls.columns).dropDuplicates(["source", "source_id", "target_id", "kind"])
 
 
 def callees(edges: DataFrame, anchors: DataFrame, depth: int = 1, confidence: float = DEFAULT_CONFIDENCE) -> DataFrame:
