@@ -5,8 +5,7 @@ consecutive words of a benchmark text; a text of fewer words, but not none, is o
 arrays; a window whose 64-bit hash is in the set is then compared word by word with the benchmark's window.
 
 The set is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text: usually one. A larger benchmark is dealt
-into more blocks, and the texts pass over one block after the other with the hits kept in between, so that no broadcast
-grows with the benchmark.
+into more blocks, and the texts pass over one block after the other, so that no broadcast grows with the benchmark.
 
 Nulls: a null text has no words. A benchmark row with a null item_id still marks words, but is not among the items.
 Repeated benchmark rows count once as items; repeated documents are scanned one by one. Other columns are ignored.
@@ -15,16 +14,13 @@ Repeated benchmark rows count once as items; repeated documents are scanned one
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import scratch
 from . import words as W
 
 NGRAM = 10
@@ -71,89 +67,84 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def _scanner(windows, names: list[str]):
-    """names: of the columns to return; text only where it is wanted again."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = W.texts_of(batch.column("text"))
-            for i, j in W.slices(texts):
-                words = W.scan(texts.slice(i, j - i), W.ALNUM, lower=True)
-                hit, items = hits(words, windows.value)
-                before = batch.slice(i, j - i)
-                spans, found = [], []
-                earlier = zip(before.column("spans").to_pylist(), before.column("items").to_pylist(), strict=True)
-                for d, (old_spans, old_items) in enumerate(earlier):
-                    own = hit[words.first[d] : words.first[d + 1]]
-                    for x in old_spans:
-                        own[x["from"] : x["to"]] = True
-                    spans.append([{"from": x, "to": y} for x, y in _spans(own).tolist()] if own.any() else [])
-                    found.append(sorted(items[d].union(old_items)))
-                arrays = {"n_words": pa.array(words.counts.astype(np.int64)), "spans": pa.array(spans, before.schema.field("spans").type), "items": pa.array(found, before.schema.field("items").type)}
-                yield pa.RecordBatch.from_arrays([arrays[n] if n in arrays else before.column(n) for n in names], schema=pa.schema([before.schema.field(n) for n in names]))
-
-    return scan
-
-
-def find(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES, with_text: bool = True) -> DataFrame:
-    """docs' columns (with_text False: all but text) and a struct _hits: n_words, spans (runs of hit words, [from, to)), items
-    (sorted as strings)."""
+HITS = "struct<n_words: bigint, spans: array<struct<`from`: int, `to`: int>>, items: array<string>, cut: string>"
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+
+def _cut(raw: bytes, words: W.Words, first: int, spans: list[dict], offset: int) -> str:
+    """The text without its hit words and what stands between the words of one run."""
+    parts, at = [], 0
+    for x in spans:
+        parts.append(raw[at : int(words.start[first + x["from"]]) - offset])
+        at = int(words.end[first + x["to"] - 1]) - offset
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def _scanner(windows, cut: bool):
+    """An Arrow UDF on the text and what earlier blocks found; texts stay in the JVM. cut: also give the cut text, where anything is hit."""
+
+    @F.arrow_udf(HITS)
+    def scan(column: pa.Array, earlier: pa.Array) -> pa.Array:
+        texts, before = W.texts_of(column), earlier.to_pylist()
+        counts, spans, items, cuts = [], [], [], []
+        for i, j in W.slices(texts):
+            part = texts.slice(i, j - i)
+            words = W.scan(part, W.ALNUM, lower=True)
+            hit, found = hits(words, windows.value)
+            for d, old in enumerate(before[i:j]):
+                own = hit[words.first[d] : words.first[d + 1]]
+                for x in old["spans"]:
+                    own[x["from"] : x["to"]] = True
+                spans.append([{"from": x, "to": y} for x, y in _spans(own).tolist()] if own.any() else [])
+                items.append(sorted(found[d].union(old["items"])))
+                cuts.append(_cut(part[d].as_py().encode(), words, int(words.first[d]), spans[-1], int(words.offsets[d])) if cut and spans[-1] else None)
+            counts += words.counts.tolist()
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(cuts, pa.string())], ["n_words", "spans", "items", "cut"])
+
+    return scan.asNondeterministic()  # one evaluation a row, whatever is filtered by it
+
+
+def find(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """docs' columns and a struct _hits: n_words, spans (runs of hit words, [from, to)), items (sorted as strings), cut (on request: the
+    text without the spans, where there are any)."""
     spark = docs.sparkSession
     rows = benchmark.select("item_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / block_bytes))
-    others = [c for c in docs.columns if c != "text"]
-    out = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("_row"), "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<`from`: int, `to`: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    none = F.struct(F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<`from`: int, `to`: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(None).cast("string").alias("cut"))
+    out = docs.withColumn("_hits", none)
     for k in range(blocks):
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         windows = spark.sparkContext.broadcast(build_windows([(r[0], r[1]) for r in block.toLocalIterator()], ngram))
-        last = k + 1 == blocks
-        names = [c for c in out.columns if c != "text" or with_text or not last]
-        out = out.mapInArrow(_scanner(windows, names), T.StructType([out.schema[n] for n in names]))
-        if not last:
-            out = scratch.keep(out, "decontaminate")
-    columns = [F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns if c != "text" or with_text]
-    return out.select(*columns, F.struct("n_words", "spans", "items").alias("_hits"))
-
-
-def _cleaner(names: list[str]):
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = W.texts_of(batch.column("text"))
-            out = texts.to_pylist()
-            spans = batch.column("_spans").to_pylist()
-            for d, own in enumerate(spans):
-                if own:
-                    words = W.scan(texts.slice(d, 1), W.ALNUM, lower=True)
-                    raw, parts, at = out[d].encode(), [], 0
-                    for x in own:
-                        parts.append(raw[at : words.start[x["from"]]])
-                        at = words.end[x["to"] - 1]
-                    out[d] = b"".join([*parts, raw[at:]]).decode()
-            values = {"text": pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([values.get(n, batch.column(n)) for n in names], names)
-
-    return clean
+        out = out.withColumn("_hits", _scanner(windows, cut and k + 1 == blocks)("text", "_hits"))
+    return out
+
+
+def _n_hit() -> Column:
+    return F.aggregate("_hits.spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", ngram: int = NGRAM) -> DataFrame:
-    """docs without their contamination; docs' columns. A text without a hit is returned as it is.
+    """docs without their contamination; docs' columns, n_chars (if any) following the text. A text without a hit is returned as it is.
 
     mode "documents": drop each contaminated document. mode "spans": cut the hit words, with what stands between the
     words of one run, and drop a document that has no other word.
     """
-    found = find(docs, benchmark, ngram)
+    found = find(docs, benchmark, ngram, cut=mode == "spans")
     if mode == "documents":
         return found.where(F.size("_hits.spans") == 0).select(docs.columns)
-    n_hit = F.aggregate("_hits.spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
-    left = found.where((n_hit == 0) | (n_hit < F.col("_hits.n_words"))).select(*docs.columns, F.col("_hits.spans").alias("_spans"))
-    return left.mapInArrow(_cleaner(docs.columns), docs.schema)
+    left = found.where((_n_hit() == 0) | (_n_hit() < F.col("_hits.n_words")))
+    text = F.coalesce("_hits.cut", "text")
+    values = {"text": text.alias("text")}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(F.col("_hits.cut").isNull(), F.col("n_chars")).otherwise(F.length("_hits.cut")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return left.select(*(values.get(c, F.col(f"`{c}`")) for c in docs.columns))
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=False)
-    n_hit = F.aggregate("_hits.spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
+    found = find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    n_hit = _n_hit()
     return found.select("doc_id", F.col("_hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_hits.items").cast("long").alias("n_items"), F.sha2(F.array_join("_hits.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 

@@ -185,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(featured, f"doc_id {kind}, label int, x binary").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    x = np.array([np.frombuffer(r[2], np.float32) for r in rows]).reshape(len(rows), -1)
-    return train(x if len(rows) else np.zeros((0, DIM + SHAPE_DIM + 3), np.float32), np.array([r[1] for r in rows]), vectors)
+    x = np.array([np.frombuffer(r[2], np.float32) for r in rows]).reshape(len(rows), DIM + SHAPE_DIM + 3)
+    return train(x, np.array([r[1] for r in rows]), vectors)
 
 
 def _score_only(model):
@@ -207,21 +207,21 @@ def score(docs: DataFrame, model) -> DataFrame:
     return rows.mapInArrow(_score_only(model), f"row struct<doc_id: {kind}>, score double").select("row.doc_id", "score")
 
 
-def _filter(model, threshold: float, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = W.texts_of(batch.column("text"))
-            for i, j in W.slices(texts):
-                good = model.value.scores(pooled(texts.slice(i, j - i), model.value.vectors)) >= threshold
-                yield batch.slice(i, j - i).filter(pa.array(good)).select(names)
+def _accepts(model, threshold: float):
+    """An Arrow UDF on the text alone: the other columns, and the text of what is kept, never leave the JVM."""
 
-    return run
+    @F.arrow_udf("boolean")
+    def accepts(column: pa.Array) -> pa.Array:
+        texts = W.texts_of(column)
+        return pa.array([bool(ok) for i, j in W.slices(texts) for ok in model.value.scores(pooled(texts.slice(i, j - i), model.value.vectors)) >= threshold], pa.bool_())
+
+    return accepts
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts; docs' columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels))
-    return docs.mapInArrow(_filter(model, threshold, docs.columns), docs.schema)
+    return docs.where(_accepts(model, threshold)("text"))
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
