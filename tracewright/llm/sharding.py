@@ -38,11 +38,11 @@ def _by_shard(values: list[int]) -> Column:
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
     """cells: grp, shard, n (documents of a group in a shard), within the quotas. Returns cells of the same totals for each
     group, still within the quotas, after rounds in which smaller cells move to their group's largest one with room."""
-    shards = len(quotas)
+    shards, closed = len(quotas), set()
     cells = scratch.keep(cells, "shard-cells")
     for _ in range(rounds):
         load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}
-        room = [q - load.get(s, 0) for s, q in enumerate(quotas)]
+        room = [0 if s in closed else q - load.get(s, 0) for s, q in enumerate(quotas)]
         own = Window.partitionBy("grp").orderBy(F.col("n").desc(), F.xxhash64("grp", "shard"))
         ranked = cells.withColumn("rank", F.row_number().over(own)).withColumn("room", F.element_at(_by_shard(room), F.col("shard") + 1))
         target = F.min_by(F.struct("rank", "shard", "n"), F.when(F.col("room") > 0, F.col("rank"))).over(Window.partitionBy("grp"))
@@ -63,8 +63,10 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Data
         at = lambda k: F.element_at(_by_shard([x[k] for x in last]), F.col("target") + 1)  # noqa: E731, B023
         moved = F.when(F.col("turn") < at(0), F.col("n")).when(F.col("turn") == at(0), F.floor(F.col("n") * at(1) / at(2))).otherwise(0).cast("long")
         moves = wishes.withColumn("moved", moved).where("moved > 0")
-        if moves.isEmpty():
-            break
+        took = {r[0] for r in moves.select("target").distinct().collect()}  # at most a row for each shard
+        closed |= {t for t, _, _ in asked} - took  # what is left there is too little to be shared out
+        if not took:
+            continue
         changes = moves.select("grp", "shard", (-F.col("moved")).alias("n")).unionByName(moves.select("grp", F.col("target").alias("shard"), F.col("moved").alias("n")))
         cells = scratch.keep(cells.select("grp", "shard", "n").unionByName(changes).groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-cells")
     return cells
