@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import affinity as A
 from ..functions import gittext, ids, naming
 from ..functions.sqltext import condition_columns_udf, parse_sql
-from ..operators import callgraph, closure, deadcode, ingest, modules, relations, scan, trace, virtual_columns
+from ..operators import bundle, callgraph, closure, deadcode, ingest, modules, relations, scan, trace, virtual_columns
 from ..sources import sinks
 from . import shop
 
@@ -807,3 +807,78 @@ _LOG = "a1b2c3d\t2024-01-02\tfirst\n\na.go\nb/{x => y}/c.go\nd4e5f6a\t2024-01-01
 @query("git_log", "SELECT * FROM (VALUES ('a1b2c3d', 'first', 'a.go'), ('a1b2c3d', 'first', 'b/y/c.go'), ('d4e5f6a', 'init', 'a.go')) v(sha, subject, file_path)", bare=True)
 def _(spark, d):
     return gittext.parse_log(gittext.lines(spark, _LOG)).select("sha", "subject", "file_path")
+
+
+# --- bundles and further facts -------------------------------------------------------------------------------------
+
+
+@query("context_bundle")
+def _(spark, d):
+    g = shop.graph(spark, d)
+    parts = bundle.context(g.nodes, g.edges, g.summary, g.origins, USER)
+    parts["callees"] = callgraph.callees(g.edges, _ids(spark, CUSTOMER)).limit(100)
+    key = {"callers": "source_id", "callees": "target_id", "fields": "field_path", "dispatch": "target_id", "chain": "name"}
+    out = [df.select(F.lit(name).alias("part"), F.col(key.get(name, "id")).alias("id")) for name, df in parts.items()]
+    for df in out[1:]:
+        out[0] = out[0].unionByName(df)
+    return out[0]
+
+
+@query("er_bundle")
+def _(spark, d):
+    g = shop.graph(spark, d)
+    parts = bundle.er(g.nodes, g.edges, relations.where_direct(g.nodes))
+    return parts["relations"].select("from_table", "from_col", "to_table", "to_col", "type")
+
+
+@query("stale_build", "SELECT build_id, status, build_id <> 'b2' AS stale FROM g_builds ORDER BY timestamp DESC, build_id DESC LIMIT 1")
+def _(spark, d):
+    return bundle.stale(shop.graph(spark, d).builds.withColumn("commit_sha", F.col("build_id")), "b2").select("build_id", "status", "stale")
+
+
+_ORM = [("Order", "ID", 'gorm:"primaryKey"', "orders", "id"), ("Order", "BuyerID", 'gorm:"column:buyer"', "orders", "buyer"), ("PayBook", "SourceURL", "", "pay_books", "source_url")]
+
+
+@query("orm_columns", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{f}', '{t}', '{c}')" for e, f, _, t, c in _ORM) + ") v(entity, field, tbl, col)", bare=True)
+def _(spark, d):
+    fields = spark.createDataFrame([(e, f, tag) for e, f, tag, _, _ in _ORM], "entity string, field string, tag string")
+    return virtual_columns.orm_mapping(fields, spark.createDataFrame([], "entity string, tbl string"))
+
+
+_DOTTED = [("m.T.Fee", "Fee", "m"), ("a.b.T.X", "X", "a.b"), ("T.X", "X", "T.X"), ("X", "X", "X")]
+
+
+@query("dotted_paths", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _DOTTED) + ") v(path, last, package)", bare=True)
+def _(spark, d):
+    p = spark.createDataFrame([(a,) for a, _, _ in _DOTTED], "path string")
+    return p.select("path", ids.last_segment(F.col("path")).alias("last"), ids.dotted_package(F.col("path")).alias("package"))
+
+
+_GRPC = [("NewOrderClient", "Order", ""), ("RegisterPayServer", "", "Pay"), ("Newclient", "", "")]
+
+
+@query("grpc_names", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _GRPC) + ") v(name, client, server)", bare=True)
+def _(spark, d):
+    n = F.col("name")
+    return spark.createDataFrame([(a,) for a, _, _ in _GRPC], "name string").select("name", naming.grpc_client_service(n).alias("client"), naming.grpc_register_service(n).alias("server"))
+
+
+_PATHS = [("a/{b => c}/d.go", "a/c/d.go"), ("{a => }/x.go", "/x.go"), ("old.go => new.go", "new.go"), ('"q.go"', "q.go")]
+
+
+@query("git_paths", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PATHS) + ") v(path, now)", bare=True)
+def _(spark, d):
+    return spark.createDataFrame([(a,) for a, _ in _PATHS], "path string").select("path", naming.git_path(F.col("path")).alias("now"))
+
+
+@query("git_graph")
+def _(spark, d):
+    nodes, edges = gittext.log_graph(gittext.parse_log(gittext.lines(spark, _LOG)))
+    return nodes.select("id", F.lit("").alias("target_id")).unionByName(edges.select(F.col("source_id").alias("id"), "target_id"))
+
+
+@query("rule_upkeep", "SELECT * FROM (VALUES (2::BIGINT, 'x', 'b_id', 'u', 'id')) v(id, from_table, from_col, to_table, to_col)", bare=True)
+def _(spark, d):
+    none = _rules(spark).limit(0)
+    both = ingest.add_rule(ingest.add_rule(none, "a_id", "t"), "b_id", "u", from_table="x")
+    return ingest.remove_rule(both, 1).select("id", "from_table", "from_col", "to_table", "to_col")
