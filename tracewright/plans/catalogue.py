@@ -714,12 +714,12 @@ def _(spark, d):
 
 @query("may_alias", """
 WITH e AS (SELECT source_id AS a, target_id AS b FROM g_edges WHERE kind IN ('data_flows_to', 'argument', 'returns')),
-r(value, allocation, d) AS (SELECT id, id, 0 FROM g_nodes WHERE kind = 'ssa_value' AND line_start % 40 = 0 UNION SELECT e.b, r.allocation, d + 1 FROM r JOIN e ON e.a = r.value WHERE d < 6)
+r(value, allocation, d) AS (SELECT id, id, 0 FROM g_nodes WHERE kind = 'ssa_value' AND line_start % 40 = 3 UNION SELECT e.b, r.allocation, d + 1 FROM r JOIN e ON e.a = r.value WHERE d < 6)
 SELECT DISTINCT value, allocation FROM r
 """)
 def _(spark, d):
     g = shop.graph(spark, d)
-    start = g.nodes.where("kind = 'ssa_value' and line_start % 40 = 0").select(F.col("id").alias("value"), F.col("id").alias("allocation"))
+    start = g.nodes.where("kind = 'ssa_value' and line_start % 40 = 3").select(F.col("id").alias("value"), F.col("id").alias("allocation"))
     return closure.may_alias(start, g.edges.where(F.col("kind").isin("data_flows_to", "argument", "returns")).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), 6)
 
 

@@ -1,7 +1,7 @@
 """A code graph derived from the star-schema tables, by one SQL text that Spark and DuckDB both run.
 
 Customers are functions that call each other along orders, nations are structs with suppliers as methods, events are values that
-flow along their users, and every tenth event is a database column. Integer arithmetic only, so all engines agree.
+flow along their users and now and then to another one, and every tenth event is a database column. Integer arithmetic only, so all engines agree.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ SELECT event_id, user_id, event_type, 'symbol:go:shop/user:u' || user_id AS func
        WHEN event_type = 'signup' OR (event_type = 'purchase' AND event_id % 2 = 0) THEN 'read' WHEN event_type = 'purchase' THEN 'write' END AS access_kind,
   CASE WHEN event_id % 10 = 0 OR event_type IN ('purchase', 'signup') THEN 'field_access' WHEN event_type = 'error' THEN 'parameter' ELSE 'ssa_value' END AS kind,
   'symbol:go:shop/user:u' || user_id || CASE WHEN event_id % 10 = 0 THEN '#ext.sql.' ELSE '#v' END || event_id AS id,
-  lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id
+  lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id, lead(event_id, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later_id
 FROM {events}
 """
 
@@ -75,7 +75,9 @@ SELECT e.id, x.id, CASE e.event_id % 6 WHEN 0 THEN 'argument' WHEN 1 THEN 'retur
   CASE WHEN e.event_id % 9 = 4 THEN 'I' || (e.event_id % 3) END, CASE WHEN e.event_id % 9 = 4 THEN 'register' END, CASE WHEN e.event_id % 9 = 4 THEN 0.5e0 + (e.event_id % 5) / 10e0 END, NULL
 FROM ({user_events}) e JOIN ({user_events}) x ON x.event_id = e.next_id
 UNION ALL
-SELECT e.id, x.id, 'data_flows_to', 1e0, CAST(e.event_id % 700 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM ({user_events}) e JOIN ({user_events}) x ON x.event_id = e.event_id * 3 + 1 WHERE e.event_id % 4 = 1
+SELECT e.id, x.id, 'data_flows_to', 1e0, CAST(e.event_id % 700 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM ({user_events}) e JOIN ({user_events}) x ON x.event_id = e.later_id WHERE e.event_id % 4 = 1
+UNION ALL
+SELECT e.id, x.id, 'data_flows_to', 1e0, CAST(e.event_id % 700 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM ({user_events}) e JOIN ({user_events}) x ON x.event_id = e.event_id * 3 + 1 WHERE e.event_id % 400 = 2
 UNION ALL
 SELECT id, 'symbol:go:shop/user:var.g' || (event_id % 9), 'data_flows_to', 1e0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM ({user_events}) g WHERE event_id % 50 = 7
 UNION ALL
