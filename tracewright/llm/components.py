@@ -16,7 +16,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         ways = edges
     else:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = scratch.keep(ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")  # kept, so that the join with a hub's many edges can be split
     met = ways.join(least, "u")
     if small:
         out = met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("u <> m").select("u", F.col("m").alias("v")))

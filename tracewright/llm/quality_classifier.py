@@ -16,6 +16,7 @@ without any). Repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ THRESHOLD = 0.7
 SEED = 11
 
 
+@functools.cache
 def index_vectors(n: int, dim: int, seed: int) -> np.ndarray:
     """Ternary vectors with four entries that are not 0."""
     rng = np.random.default_rng(seed)
