@@ -56,6 +56,23 @@ def test_encoding_without_dropout_is_the_librarys(pieces):
         assert encoder.encode(text).tolist() == library.encode(text)
 
 
+def test_every_occurrence_is_merged_for_itself(pieces, monkeypatch):
+    monkeypatch.setattr(sentencepiece_bpe, "PART", 700, raising=False)
+    monkeypatch.setattr(sentencepiece_bpe, "REMEMBERED", 60)
+    rng = random.Random(4)
+    words = ["international", "segmentation", "the", "🙂é", "x▁y", "unbelievable", "n" * 60] + ["".join(rng.choice("athenios") for _ in range(9)) for _ in range(90)]
+    texts = ["", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 400))) for _ in range(12)), "international " * 3000]
+    encoder = sentencepiece_bpe.Encoder(pieces, 0.1, seed=5)
+    for _ in range(2):
+        for doc, (text, found) in enumerate(zip(texts, encoder.encode_many(texts, list(range(len(texts)))), strict=True)):
+            start = int(sentencepiece_bpe.W.mix(np.array([(doc * 0x9E3779B97F4A7C15 + 5) % 2**64], dtype=np.uint64))[0])
+            keys = sentencepiece_bpe.W.mix(np.array([(start + k) % 2**64 for k in range(len(text) + 1)], dtype=np.uint64)).tolist()
+            want = [plain_merge(pieces, c, 0.1, k) if c else [pieces.byte_ids[b] for b in "▁".encode()] for c, k in zip(pieces.chunks(text) if text else [], keys)]
+            assert found.tolist() == [x for ids in want for x in ids], doc
+    kinds = {tuple(encoder.encode("international", doc).tolist()) for doc in range(2000)}
+    assert len(kinds) > 4  # the whole word and many that skip a merge
+
+
 def test_encoding_is_lossless_varied_and_repeatable(spark, pieces):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)] + [(None, "no id", "x"), (6, ODD[6], "x")], "doc_id long, text string, ids string")
     once = sentencepiece_bpe.encode(docs).select("doc_id", "ids", F.col("_encoded").alias("e")).collect()

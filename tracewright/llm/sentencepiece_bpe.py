@@ -1,13 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges are done on an agenda (best score first, then leftmost), as the model's own encoder does. With dropout, a candidate merge
-taken from the agenda is skipped when a keyed hash of (seed, variant, chunk, place, merged piece) falls below the rate; a later
-merge beside it may bring it back. So segmentations vary with the seed and from occurrence to occurrence, always into pieces that
-merges can make, and are the same on every machine.
+taken from the agenda is skipped when a keyed hash of (seed, document, place of the chunk in the text, place in the chunk, merged
+piece) falls below the rate; a later merge beside it may bring it back. So every occurrence of a word is segmented for itself,
+always into pieces that merges can make, and the same on every machine.
 
 Pieces never run from a word into the next space, so a text falls apart into chunks (spaces, then a word) that are encoded
-alone. Each occurrence of a chunk draws one of ``VARIANTS`` segmentations by a keyed hash of (seed, document, place); a worker
-remembers segmentations, twice ``REMEMBERED`` at most. Without dropout the ids are those of the sentencepiece library.
+alone. A worker remembers, for about ``REMEMBERED`` chunks, the candidates that come up when none is skipped and when one is, with the
+ids they lead to; an occurrence whose own hash skips more is merged by itself. That saves merging and changes no result. Without
+dropout the ids are those of the sentencepiece library.
 
 Lossless: characters without a piece, and U+2581 itself (which stands for the space), are spelled in byte pieces; decoding gives
 back the exact text. A null text is encoded as an empty one, without pieces; a null doc_id draws as 0. Repeated rows are encoded
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 from . import words as W
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 7, 4
+DROPOUT, SEED = 0.1, 7
 REMEMBERED = 250_000
 SPACE = "▁"
 SHORT = 48
+PART = 50_000
 NONE = 1 << 30
+UNSEEN, ALONE = -1, -2  # instead of a state: not yet remembered; to be merged by itself
 _M = (1 << 64) - 1
 
 
@@ -44,6 +47,12 @@ def _skips(key: int, place: int, rank: int, most: int) -> bool:
     return ((x ^ (x >> 29)) * 0x94D049BB133111EB) & _M < most
 
 
+def _skips_many(keys: np.ndarray, candidates: np.ndarray, most: int) -> np.ndarray:
+    """The same for many candidates, given as place * 0x9E3779B97F4A7C15 + rank."""
+    x = (keys ^ candidates) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) < np.uint64(most)
+
+
 class Pieces:
     """A BPE model with byte pieces."""
 
@@ -170,13 +179,24 @@ class Pieces:
         return value >> 32, value & 0xFFFFFFFF
 
     def merge_many(self, chunks: list[str], dropout: float, keys: np.ndarray) -> list[bytes]:
-        """What `merge` gives for each chunk and its key, as 16-bit ids, for all chunks side by side: a round takes the next
-        candidate of every chunk's agenda."""
+        """What `merge` gives for each chunk and its key, as 16-bit ids, for all chunks side by side."""
+        most = int(dropout * (1 << 64))
+        ids, counts, odd = self._rounds(chunks, (lambda _, active, candidates: _skips_many(keys[active], candidates, most)) if most else None)
+        flat = ids.tobytes()
+        ends = np.concatenate([[0], np.cumsum(counts)]) * 2
+        out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for c in odd.tolist():
+            out[c] = np.array(self.merge(chunks[c], dropout, int(keys[c])), np.uint16).tobytes()
+        return out
+
+    def _rounds(self, chunks: list[str], skip) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all chunks one after the other, how many each has, and the chunks for which they do not hold. A round takes
+        the next candidate of every chunk's agenda; skip: of (round, chunks, candidates), which of them are skipped."""
         raw = np.frombuffer("".join(chunks).encode("utf-32-le"), dtype=np.uint32)
         size = np.array([len(c) for c in chunks], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])
         ids = self.singles[raw]
-        n, most = len(ids), int(dropout * (1 << 64))
+        n = len(ids)
         word = np.repeat(np.arange(len(chunks)), size)
         odd = np.unique(word[ids < 0])  # chunks with a character that has no piece of its own
         right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -187,6 +207,7 @@ class Pieces:
         rank[inner], _ = self._joined(ids[inner], ids[right[inner]])
         active = np.arange(len(chunks))
         held, starts = np.arange(n), begin[:-1]  # the places of the active chunks, and where each begins among them
+        turn = 0
         while len(active):
             least = np.minimum.reduceat(rank[held] << 32 | held, starts)
             going = least >> 32 < NONE
@@ -198,9 +219,9 @@ class Pieces:
             i, r = least & 0xFFFFFFFF, least >> 32
             if not len(i):
                 break
-            if most:
-                x = (keys[active] ^ ((i - begin[active]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + r.astype(np.uint64))) * np.uint64(0xBF58476D1CE4E5B9)
-                skipped = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) < np.uint64(most)
+            if skip:
+                skipped = skip(turn, active, (i - begin[active]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + r.astype(np.uint64))
+                turn += 1
                 rank[i[skipped]] = NONE
                 i = i[~skipped]
             j = right[i]
@@ -216,12 +237,22 @@ class Pieces:
             some = h >= 0
             rank[h[some]], _ = self._joined(ids[h[some]], ids[i[some]])
         counts = np.add.reduceat(alive.astype(np.int64), begin[:-1]) if n else np.zeros(0, np.int64)
-        flat = ids[alive].astype(np.uint16).tobytes()
-        ends = np.concatenate([[0], np.cumsum(counts)]) * 2
-        out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        for c in odd.tolist():
-            out[c] = np.array(self.merge(chunks[c], dropout, int(keys[c])), np.uint16).tobytes()
-        return out
+        return ids[alive].astype(np.uint16), counts, odd
+
+    def trace_many(self, chunks: list[str], stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What `_rounds` gives when each chunk skips only the candidate of its stop (none, if below 0), and the candidates after
+        that one: how many each chunk has, and all of them."""
+        seen, taken = [], []
+
+        def skip(turn: int, active: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+            after = stops[active] < turn
+            seen.append(active[after])
+            taken.append(candidates[after])
+            return stops[active] == turn
+
+        ids, counts, odd = self._rounds(chunks, skip)
+        seen, taken = np.concatenate([*seen, np.zeros(0, np.int64)]), np.concatenate([*taken, np.zeros(0, np.uint64)])
+        return ids, counts, odd, np.bincount(seen, minlength=len(chunks)), taken[np.argsort(seen, kind="stable")]
 
     def chunks(self, text: str) -> list[tuple[str, bool]] | list[str]:
         """The chunks of a text; one that is U+2581 in the text itself is given as "" and spelled in bytes."""
@@ -237,68 +268,139 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids))[1:]
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        to = self.n + len(values)
+        if to > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(max(len(self.held), to - len(self.held)), self.held.dtype)])
+        self.held[self.n : to] = values
+        self.n = to
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 class Encoder:
-    """Encodes texts; remembers what chunks gave, in two generations, so that frequent chunks stay."""
+    """Encodes texts. Remembers states of chunks: candidates yet to come, and the ids if none of them is skipped."""
 
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces, self.dropout, self.seed = pieces, dropout, seed
-        self.variants = variants if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.literal = np.array([pieces.byte_ids[b] for b in SPACE.encode()], np.uint16).tobytes()
-        self.salts = np.array([int.from_bytes(hashlib.blake2b(f"{seed}:{v}".encode(), digest_size=8).digest(), "little") for v in range(self.variants)], dtype=np.uint64)
-
-    def keys(self, chunks: list[str], variant: int) -> np.ndarray:
-        """The keys of the hash that skips merges, by seed, variant and chunk."""
-        spelled = pa.array(chunks, pa.string())
-        offsets = np.frombuffer(spelled.buffers()[1], dtype=np.int32, count=len(chunks) + 1).astype(np.int64)
-        data = np.frombuffer(spelled.buffers()[2], dtype=np.uint8)[: offsets[-1]]
-        spans = W.Words(data, offsets, offsets[:-1], offsets[1:], offsets, data > 0)
-        return W.mix(W.hash_words(spans) ^ self.salts[variant])
-
-    def _learn(self, missing: list[set[str]]) -> None:
-        """Segment the chunks that no text before had, side by side; very long ones alone."""
-        if sum(map(len, self.known)) >= REMEMBERED:
-            self.older, self.known = self.known, [{} for _ in range(self.variants)]
-        for v, chunks in enumerate(missing):
-            known, older = self.known[v], self.older[v]
-            if older:
-                known.update((c, older[c]) for c in chunks if c in older)
-                chunks = chunks - known.keys()
-            if "" in chunks:
-                known[""] = self.literal
-            short = [c for c in chunks if 0 < len(c) <= SHORT]
-            for at in range(0, len(short), 20_000):
-                part = short[at : at + 20_000]
-                known.update(zip(part, self.pieces.merge_many(part, self.dropout, self.keys(part, v)), strict=True))
-            for c in (c for c in chunks if len(c) > SHORT):
-                known[c] = np.array(self.pieces.merge(c, self.dropout, int(self.keys([c], v)[0])), np.uint16).tobytes()
+        self.most = int(dropout * (1 << 64))
+        self._forget()
+
+    def _forget(self) -> None:
+        """begin and ids_begin: by state. candidates and after (the state when this one is skipped): by place among all candidates."""
+        self.roots: dict[str, int] = {}
+        self.begin, self.ids_begin, self.candidates, self.after, self.ids = Grown(np.int64), Grown(np.int64), Grown(np.uint64), Grown(np.int32), Grown(np.uint16)
+        self.begin.add([0])
+        self.ids_begin.add([0])
+        self._add(np.array([self.pieces.byte_ids[b] for b in SPACE.encode()]), [3], np.zeros(0, np.uint64), [0], ALONE)
+        self.roots[""] = 0
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray, candidates: np.ndarray, n: np.ndarray, after: int) -> np.ndarray:
+        """New states, one for each count."""
+        first = self.begin.n - 1
+        self.begin.add(len(self.candidates.now) + np.cumsum(n))
+        self.ids_begin.add(len(self.ids.now) + np.cumsum(counts))
+        self.candidates.add(candidates)
+        self.after.add(np.full(len(candidates), after, np.int32))
+        self.ids.add(ids)
+        return np.arange(first, self.begin.n - 1)
+
+    def _learn(self, missing: list[str]) -> None:
+        """The first states of chunks that no text before had, side by side. A character without a piece has its bytes."""
+        for c in (c for c in missing if len(c) == 1):
+            ids = self.pieces.spell(c)
+            self.roots[c] = int(self._add(np.array(ids), [len(ids)], np.zeros(0, np.uint64), [0], ALONE)[0])
+        more = [c for c in missing if len(c) > 1]
+        for at in range(0, len(more), 20_000):
+            part = more[at : at + 20_000]
+            ids, counts, odd, n, candidates = self.pieces.trace_many(part, np.full(len(part), -1))
+            states = self._add(ids, counts, candidates, n, UNSEEN)
+            states[odd] = ALONE
+            self.roots.update(zip(part, states.tolist(), strict=True))
+
+    def _states(self, chunks: list[str], keys: np.ndarray) -> np.ndarray:
+        """The state whose ids each occurrence has, or ALONE."""
+        got = list(map(self.roots.get, chunks))
+        if None in got:
+            gaps = [k for k, g in enumerate(got) if g is None]
+            self._learn([c for c in {chunks[k] for k in gaps} if len(c) <= SHORT])
+            for k in gaps:
+                got[k] = self.roots.get(chunks[k], ALONE)
+        states = np.array(got, dtype=np.int64)
+        going = np.flatnonzero(states >= 0) if self.most else states[:0]
+        while len(going):
+            first = self.begin.now[states[going]]
+            n = self.begin.now[states[going] + 1] - first
+            ends = np.cumsum(n)
+            held = np.arange(ends[-1]) + np.repeat(first - ends + n, n)
+            skipped = np.flatnonzero(_skips_many(np.repeat(keys[going], n), self.candidates.now[held], self.most))
+            whose = np.searchsorted(ends, skipped, side="right")
+            lead = np.flatnonzero(np.diff(whose, prepend=-1))  # the first that each skips
+            going, slot = going[whose[lead]], held[skipped[lead]]
+            unseen = np.flatnonzero(self.after.now[slot] == UNSEEN)
+            new, one = np.unique(slot[unseen], return_index=True)
+            one = going[unseen[one]]
+            for at in range(0, len(new), 20_000):
+                part = one[at : at + 20_000]
+                ids, counts, _, n, candidates = self.pieces.trace_many([chunks[k] for k in part.tolist()], new[at : at + 20_000] - self.begin.now[states[part]])
+                self.after.now[new[at : at + 20_000]] = self._add(ids, counts, candidates, n, ALONE)
+            states[going] = self.after.now[slot]
+            going = going[states[going] >= 0]
+        return states
+
+    def _part(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all occurrences one after the other, and how many each has."""
+        states = self._states(chunks, keys)
+        alone = np.flatnonzero(states < 0)
+        states[alone] = 0
+        first = self.ids_begin.now[states]
+        counts = self.ids_begin.now[states + 1] - first
+        own: list[bytes] = [b""] * len(alone)
+        short = [k for k, c in enumerate(alone.tolist()) if len(chunks[c]) <= SHORT]
+        for k, ids in zip(short, self.pieces.merge_many([chunks[c] for c in alone[short].tolist()], self.dropout, keys[alone[short]]) if short else [], strict=True):
+            own[k] = ids
+        for k, c in enumerate(alone.tolist()):
+            if len(chunks[c]) > SHORT:
+                own[k] = np.array(self.pieces.merge(chunks[c], self.dropout, int(keys[c])), np.uint16).tobytes()
+        counts[alone] = [len(ids) // 2 for ids in own]
+        ends = np.cumsum(counts)
+        source = np.arange(ends[-1]) + np.repeat(first - ends + counts, counts)
+        mine = np.zeros(len(chunks), dtype=bool)
+        mine[alone] = True
+        mine = np.repeat(mine, counts)
+        source[mine] = 0
+        out = self.ids.now[source]
+        out[mine] = np.frombuffer(b"".join(own), np.uint16)
+        return out, counts
 
     def encode_many(self, texts: list[str], doc_ids: list[int]) -> list[np.ndarray]:
-        """Ids of texts (16 bits; a model of more pieces needs more). A text's document draws its variants."""
-        out, later, missing = [], [], [set() for _ in range(self.variants)]
-        for at, (text, doc) in enumerate(zip(texts, doc_ids, strict=True)):
-            chunks = self.pieces.chunks(text) if text else []
-            if self.variants == 1:
-                draw = [0] * len(chunks)
-            else:
-                start = W.mix(np.array([(doc * 0x9E3779B97F4A7C15 + self.seed) & _M], dtype=np.uint64))
-                draw = (W.mix(np.arange(len(chunks), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist()
-            known = self.known
-            got = [known[v].get(c) for c, v in zip(chunks, draw, strict=True)]
-            out.append(got)
-            if None in got:
-                gaps = [(k, chunks[k], draw[k]) for k, g in enumerate(got) if g is None]
-                later.append((at, gaps))
-                for _, c, v in gaps:
-                    missing[v].add(c)
-        if later:
-            self._learn(missing)
-        for at, gaps in later:
-            got = out[at]
-            for k, c, v in gaps:
-                got[k] = self.known[v][c]
-        return [np.frombuffer(b"".join(got), np.uint16) for got in out]
+        """Ids of texts (16 bits; a model of more pieces needs more)."""
+        chunks, sizes = [], []
+        for text in texts:
+            own = self.pieces.chunks(text) if text else []
+            chunks += own
+            sizes.append(len(own))
+        sizes = np.array(sizes, dtype=np.int64)
+        starts = W.mix(np.array([(doc * 0x9E3779B97F4A7C15 + self.seed) & _M for doc in doc_ids], dtype=np.uint64))
+        ends = np.cumsum(sizes)
+        keys = W.mix(np.repeat(starts, sizes) + (np.arange(len(chunks)) - np.repeat(ends - sizes, sizes)).astype(np.uint64))
+        ids, counts = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
+        for at in range(0, len(chunks), PART):
+            if len(self.roots) >= REMEMBERED or self.begin.n >= 4 * REMEMBERED:
+                self._forget()
+            done, n = self._part(chunks[at : at + PART], keys[at : at + PART])
+            ids.append(done)
+            counts.append(n)
+        ids, to = np.concatenate(ids), np.cumsum(np.concatenate(counts))[np.concatenate([[0], ends])].tolist()
+        return [ids[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
 
     def encode(self, text: str, doc_id: int = 0) -> np.ndarray:
         return self.encode_many([text], [doc_id])[0]
@@ -307,17 +409,17 @@ class Encoder:
 _ready: dict[tuple, Encoder] = {}
 
 
-def _encoder(model, dropout: float, seed: int, variants: int) -> Encoder:
-    name = (hashlib.md5(model.value, usedforsecurity=False).digest(), dropout, seed, variants)
+def _encoder(model, dropout: float, seed: int) -> Encoder:
+    name = (hashlib.md5(model.value, usedforsecurity=False).digest(), dropout, seed)
     if name not in _ready:
         _ready.clear()
-        _ready[name] = Encoder(Pieces(model.value), dropout, seed, variants)
+        _ready[name] = Encoder(Pieces(model.value), dropout, seed)
     return _ready[name]
 
 
-def _runner(model, dropout: float, seed: int, variants: int):
+def _runner(model, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model, dropout, seed, variants)
+        encoder = _encoder(model, dropout, seed)
         for batch in batches:
             texts = W.texts_of(batch.column("text"))
             for i, j in W.slices(texts):
@@ -334,7 +436,7 @@ def _runner(model, dropout: float, seed: int, variants: int):
     return run
 
 
-def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """docs' columns but text, and a struct _encoded: ids (16-bit little-endian), n_pieces, decoded_sha256, lossless (decoding
     gave back the text)."""
     spark = docs.sparkSession
@@ -344,7 +446,7 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     draw = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), draw.alias("draw"), "text")
     kind = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(_runner(shared, dropout, seed, variants), f"row {kind}, ids binary, n_pieces long, decoded_sha256 string, lossless boolean")
+    done = rows.mapInArrow(_runner(shared, dropout, seed), f"row {kind}, ids binary, n_pieces long, decoded_sha256 string, lossless boolean")
     return done.select(*(F.col(f"row.`{c}`") for c in others), F.struct("ids", "n_pieces", "decoded_sha256", "lossless").alias("_encoded"))
 
 
