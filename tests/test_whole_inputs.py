@@ -34,3 +34,14 @@ def test_relations_of_all_orders(spark, orders):
     for *key, hops, _ in plain:
         least[tuple(key)] = min(hops, least.get(tuple(key), hops))
     assert {tuple(r)[:4]: r["hops"] for r in catalogue.QUERIES["relation_merge"](spark, d).collect()} == least
+
+
+def test_node_upsert_of_all_orders(spark, orders):
+    d, made = orders
+    names, values = {}, {}
+    for o, c, status in sorted(made):
+        names.setdefault(f"n{c}", status)
+        values.setdefault(f"n{c}", {})[f"k{o % 3}"] = str(o) if o % 7 else ""
+    want = {n: (names[n], ",".join(f"{k}={v}" for k, v in sorted(values[n].items()) if v)) for n in names}
+    assert {r["id"]: (r["name"], r["props"]) for r in catalogue.QUERIES["node_upsert"](spark, d).collect()} == want
+    assert any(int(n[1:]) % 5 for n in want)
