@@ -45,3 +45,16 @@ def test_node_upsert_of_all_orders(spark, orders):
     want = {n: (names[n], ",".join(f"{k}={v}" for k, v in sorted(values[n].items()) if v)) for n in names}
     assert {r["id"]: (r["name"], r["props"]) for r in catalogue.QUERIES["node_upsert"](spark, d).collect()} == want
     assert any(int(n[1:]) % 5 for n in want)
+
+
+def test_indirect_writes_of_all_calls(spark, orders):
+    d, made = orders
+    customers = [*range(1, 41, 7), 50, 61]
+    spark.createDataFrame([(c,) for c in customers], "c_custkey long").write.mode("overwrite").parquet(f"{d}/customer.parquet")
+    calls = {(f"f{c}", f"f{o * 7919 % len(customers)}", o % 9, f"T{o % 3}.F") for o, c, _ in made}
+    writes, before = {(f"f{c}", f"T{c % 3}.F") for c in customers}, 0
+    while len(writes) > before:
+        before = len(writes)
+        writes |= {(caller, path) for caller, callee, _, path in calls if (callee, path) in writes}
+    want = sorted((caller, path, str(line), callee) for caller, callee, line, path in calls if (callee, path) in writes)
+    assert want and rows(catalogue.QUERIES["indirect_writes"](spark, d)) == sorted(set(want))

@@ -707,9 +707,10 @@ r(f, p) AS (SELECT f, p FROM w UNION SELECT s.caller, r.p FROM r JOIN s ON s.cal
 SELECT DISTINCT s.caller AS function_id, r.p AS field_path, s.line::BIGINT AS call_line, s.callee AS callee_id FROM r JOIN s ON s.callee = r.f AND s.owner || '.F' = r.p
 """)
 def _(spark, d):
-    o, k = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 < 3"), F.col("o_orderkey")
-    calls = o.select(F.concat(F.lit("f"), "o_custkey").alias("caller_id"), F.concat(F.lit("f"), k * 7919 % 300).alias("callee_id"), (k % 9).alias("call_line"), F.array(F.concat(F.lit("T"), k % 3)).alias("arg_paths"), F.array(F.lit("x")).alias("arg_names"))
-    direct = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 50 = 0").select(F.concat(F.lit("f"), "c_custkey").alias("function_id"), F.concat(F.lit("T"), F.col("c_custkey") % 3, F.lit(".F")).alias("field_path"))
+    o, c, k = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet"), F.col("o_orderkey")
+    functions = max(c.count(), 1)
+    calls = o.select(F.concat(F.lit("f"), "o_custkey").alias("caller_id"), F.concat(F.lit("f"), k * 7919 % functions).alias("callee_id"), (k % 9).alias("call_line"), F.array(F.concat(F.lit("T"), k % 3)).alias("arg_paths"), F.array(F.lit("x")).alias("arg_names"))
+    direct = c.select(F.concat(F.lit("f"), "c_custkey").alias("function_id"), F.concat(F.lit("T"), F.col("c_custkey") % 3, F.lit(".F")).alias("field_path"))
     return closure.indirect_writes(direct, calls)[1].select("function_id", "field_path", "call_line", "callee_id")
 
 
