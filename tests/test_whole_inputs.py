@@ -58,3 +58,12 @@ def test_indirect_writes_of_all_calls(spark, orders):
         writes |= {(caller, path) for caller, callee, _, path in calls if (callee, path) in writes}
     want = sorted((caller, path, str(line), callee) for caller, callee, line, path in calls if (callee, path) in writes)
     assert want and rows(catalogue.QUERIES["indirect_writes"](spark, d)) == sorted(set(want))
+
+
+def test_context_bundle_has_all_callees(spark, monkeypatch):
+    nodes = spark.createDataFrame([], "target_id string")
+    graph = type("G", (), dict.fromkeys(("nodes", "edges", "summary", "origins"), nodes))()
+    monkeypatch.setattr(catalogue.shop, "graph", lambda spark, d: graph)
+    monkeypatch.setattr(catalogue.bundle, "context", lambda *a: {"callees": None})
+    monkeypatch.setattr(catalogue.callgraph, "callees", lambda edges, ids: spark.range(150).selectExpr("'c' || id AS target_id"))
+    assert catalogue.QUERIES["context_bundle"](spark, "").where("part = 'callees'").count() == 150

@@ -818,7 +818,7 @@ def _(spark, d):
 def _(spark, d):
     g = shop.graph(spark, d)
     parts = bundle.context(g.nodes, g.edges, g.summary, g.origins, USER)
-    parts["callees"] = callgraph.callees(g.edges, _ids(spark, CUSTOMER)).limit(100)
+    parts["callees"] = callgraph.callees(g.edges, _ids(spark, CUSTOMER))
     key = {"callers": "source_id", "callees": "target_id", "fields": "field_path", "dispatch": "target_id", "chain": "name"}
     out = [df.select(F.lit(name).alias("part"), F.col(key.get(name, "id")).alias("id")) for name, df in parts.items()]
     for df in out[1:]:
