@@ -60,10 +60,28 @@ def test_indirect_writes_of_all_calls(spark, orders):
     assert want and rows(catalogue.QUERIES["indirect_writes"](spark, d)) == sorted(set(want))
 
 
-def test_context_bundle_has_all_callees(spark, monkeypatch):
-    nodes = spark.createDataFrame([], "target_id string")
-    graph = type("G", (), dict.fromkeys(("nodes", "edges", "summary", "origins"), nodes))()
-    monkeypatch.setattr(catalogue.shop, "graph", lambda spark, d: graph)
-    monkeypatch.setattr(catalogue.bundle, "context", lambda *a: {"callees": None})
-    monkeypatch.setattr(catalogue.callgraph, "callees", lambda edges, ids: spark.range(150).selectExpr("'c' || id AS target_id"))
-    assert catalogue.QUERIES["context_bundle"](spark, "").where("part = 'callees'").count() == 150
+def test_context_bundle_has_all_callees(spark):
+    from test_graph_fixtures import edges_of, nodes_of
+
+    nodes = nodes_of(spark, [("f", "function", "f", "a.go", 1, {})] + [(f"c{i}", "function", f"c{i}", "a.go", i, {}) for i in range(150)])
+    edges = edges_of(spark, [("f", f"c{i}", "calls", 1.0) for i in range(150)])
+    none = spark.createDataFrame([], "function_id string, access_kind string, field_path string, call_line int, callee_id string")
+    parts = catalogue.bundle.context(nodes, edges, none.drop("call_line", "callee_id"), none, "f")
+    assert parts["callees"].count() == 150
+
+
+def test_items_keep_the_order_of_file_names(spark, tmp_path):
+    """A small first file and a large second one, which Spark packs first."""
+    from tracewright.operators import ingest
+    from tracewright.sources import readers
+
+    item = '{"node": {"id": "%s", "kind": "function", "name": "%s", "properties": {"k": "%s"}}}\n'
+    (tmp_path / "a.json").write_text(item % ("n", "first", "1"))
+    (tmp_path / "b.json").write_text(item % ("n", "second", "2") + "".join(item % (f"x{i}", "x" * 50, "3") for i in range(20_000)) + item % ("n", "third", "4"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        nodes, *_ = ingest.split_items(readers.items(spark, str(tmp_path)))
+        got = ingest.upsert_nodes(nodes).where("id = 'n'").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["name"], r["properties"]) for r in got] == [("first", {"k": "4"})]

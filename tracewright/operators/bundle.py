@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from . import callgraph, relations, scan, trace
 
 
-def context(nodes: DataFrame, edges: DataFrame, summary: DataFrame, origins: DataFrame, anchor: str, depth: int = 4) -> dict[str, DataFrame]:
+def context(nodes: DataFrame, edges: DataFrame, summary: DataFrame, origins: DataFrame, anchor: str, depth: int = 4, steps: DataFrame | None = None) -> dict[str, DataFrame]:
     """What there is to know of a symbol: itself, direct callers and callees, fields, the main chain and value trace of its node, and
     marks of dispatch."""
-    spark = nodes.sparkSession
+    spark, steps = nodes.sparkSession, trace.prepare(nodes, edges) if steps is None else steps
     one = spark.createDataFrame([(anchor,)], "id string")
     out = {
         "symbol": scan.node_by_id(nodes, anchor),
@@ -22,8 +22,8 @@ def context(nodes: DataFrame, edges: DataFrame, summary: DataFrame, origins: Dat
     }
     values = nodes.where((F.col("func_id") == anchor) & F.col("kind").isin("parameter", "receiver", "result", "field_access")).orderBy("id").select("id").limit(1).collect()
     start = anchor if not values else values[0][0]
-    out["chain"] = trace.summary_chain(nodes, edges, start)
-    out["trace"] = trace.marked(trace.value_trace(nodes, edges, spark.createDataFrame([(start,)], "id string"), depth), edges)
+    out["chain"] = trace.summary_chain(nodes, edges, start, steps)
+    out["trace"] = trace.marked(trace.value_trace(nodes, edges, spark.createDataFrame([(start,)], "id string"), depth, steps=steps), edges)
     return out
 
 

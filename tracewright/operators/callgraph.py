@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..functions import ids
-from .kernels import both_ways, reach
+from ..storage import keep
+from .kernels import LEVELS, both_ways, reach
 
 DEFAULT_CONFIDENCE = 0.8
 
@@ -85,26 +86,24 @@ def expand(nodes: DataFrame, edges: DataFrame, id_: str, limit: int = 500) -> Da
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, via: str = "data", depth: int = 50) -> DataFrame:
-    """step, id, edge_kinds (of the step before): the path of fewest edges, the least ids among equals; one row where the ends are
-    one; no row where there is none within `depth`."""
+    """step, id, edge_kinds (of the step before): the path of fewest edges, the least ids from the end on among equals; one row where
+    the ends are one; no row where there is none within `depth`. A frontier row carries the way to it, so no way has to be found back."""
     spark = edges.sparkSession
-    if start == end:
-        return spark.createDataFrame([(0, start, "")], "step int, id string, edge_kinds string")
-    kinds = S.PATH_CALLS if via == "calls" else S.PATH_DATA
-    used = edges.where(F.col("kind").isin(*kinds)).select("source_id", "target_id", "kind")
-    steps = used.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
-    start_row = spark.createDataFrame([(start, start)], "source string, node string")
-    seen = reach(start_row, steps, depth, stop=spark.createDataFrame([(start, end)], "source string, node string"))
-    depths = {r[0]: r[1] for r in seen.where(F.col("node") == end).select("node", "depth").collect()}
-    if end not in depths:
-        return spark.createDataFrame([], "step int, id string, edge_kinds string")
-    rows, at = [], end
-    for d in range(depths[end], 0, -1):  # back along the levels, one step each
-        before = seen.where(F.col("depth") == d - 1).select(F.col("node").alias("source_id"))
-        best = used.where(F.col("target_id") == at).join(before, "source_id").groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds")).orderBy("source_id").first()
-        rows.append((d, at, best["kinds"]))
-        at = best["source_id"]
-    return spark.createDataFrame([(0, start, ""), *reversed(rows)], "step int, id string, edge_kinds string")
+    level = spark.createDataFrame([(start, [start], [""])], "node string, ids array<string>, kinds array<string>")
+    used = edges.where(F.col("kind").isin(*(S.PATH_CALLS if via == "calls" else S.PATH_DATA))).select("source_id", "target_id", "kind")
+    seen = level.select("node")
+    for d in range(1, depth + 1 if start != end else 1):
+        met = level.join(used, level["node"] == used["source_id"]).groupBy("target_id", "source_id", "ids", "kinds").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kind"))
+        best = met.groupBy("target_id").agg(F.min(F.struct("source_id", "kind", "ids", "kinds")).alias("w"))
+        rows = best.join(seen, best["target_id"] == seen["node"], "left_anti")
+        level = keep(rows.select(F.col("target_id").alias("node"), F.concat("w.ids", F.array("target_id")).alias("ids"), F.concat("w.kinds", F.array("w.kind")).alias("kinds")), "path")
+        n, arrived = level.agg(F.count(F.lit(1)), F.max(F.col("node") == end)).first()
+        if arrived or not n:
+            break
+        seen = seen.unionByName(level.select("node"))
+        if d % LEVELS == 0:
+            seen = keep(seen, "path-seen")
+    return level.where(F.col("node") == end).select(F.posexplode(F.arrays_zip("ids", "kinds")).alias("step", "s")).select("step", F.col("s.ids").alias("id"), F.col("s.kinds").alias("edge_kinds"))
 
 
 def symbol_detail(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, confidence: float = DEFAULT_CONFIDENCE) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Merging extracted items into the graph's tables. Rows carry `seq`, the order in which they arrived."""
+"""Merging extracted items into the graph's tables. Rows carry `seq`, the order in which they arrived: numbers, or sources.readers' places."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,24 +13,25 @@ def split_items(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     return part("node"), part("fact"), part("summary"), items.where("origins is not null").select("seq", F.inline("origins"))
 
 
-def _merged_properties() -> Column:
-    """Later values win; a null value deletes its key."""
-    entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.map_entries(F.coalesce("properties", F.expr("cast(map() as map<string, string>)"))).alias("e")))), lambda s: s["e"]))
-    keep_last = lambda acc, e: F.concat(F.filter(acc, lambda x: x["key"] != e["key"]), F.array(e))
-    folded = F.aggregate(entries, F.expr("cast(array() as array<struct<key: string, value: string>>)"), keep_last)
-    return F.map_from_entries(F.filter(folded, lambda e: e["value"].isNotNull()))
+def _merged_properties(nodes: DataFrame) -> DataFrame:
+    """id, properties: later values win; a null value deletes its key. Keys are merged one by one, so a node that arrives very often
+    is combined before it is shuffled."""
+    last = nodes.select("id", "seq", F.explode("properties")).groupBy("id", "key").agg(F.max_by("value", F.struct("seq", "value")).alias("value"))
+    return last.where("value is not null").groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
 
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
-    """One row an id: kind, name, file and lines of the first; properties merged in order of arrival."""
-    first = F.min_by(F.struct("kind", "name", "file_path", "line_start", "line_end"), "seq").alias("first")
-    return nodes.groupBy("id").agg(first, _merged_properties().alias("properties")).select("id", "first.*", "properties")
+    """One row an id: kind, name, file and lines of the first; properties merged in order of arrival. seq: anything that has an order."""
+    one = F.struct("kind", "name", "file_path", "line_start", "line_end")
+    first = nodes.groupBy("id").agg(F.min_by(one, F.struct("seq", one)).alias("first"))
+    none = F.expr("cast(map() as map<string, string>)")
+    return first.join(_merged_properties(nodes), "id", "left").select("id", "first.*", F.coalesce("properties", none).alias("properties"))
 
 
 def upsert_edges(edges: DataFrame) -> DataFrame:
     """One row for each (source_id, target_id, kind): the highest confidence (0.5 if not given), of equal ones the first."""
     value = F.struct(*(c for c in edges.columns if c not in ("source_id", "target_id", "kind", "seq", "confidence")), F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
-    best = F.max_by(value, F.struct(F.coalesce("confidence", F.lit(0.5)), -F.col("seq"))).alias("best")
+    best = F.min_by(value, F.struct(-F.coalesce("confidence", F.lit(0.5)), "seq")).alias("best")
     return edges.groupBy("source_id", "target_id", "kind").agg(best).select("source_id", "target_id", "kind", "best.*")
 
 

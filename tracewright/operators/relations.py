@@ -1,7 +1,7 @@
 """Which columns of database tables refer to each other, inferred from data flow; and what is made of that.
 
 ``infer`` runs one search from every column node of every table at once. State is a row for each (start, node): depth, whether the way
-crossed a function boundary, the taint (the start column's name, as far as the value still carries it), and the place in the
+crossed a function boundary, whether the value still carries the start column's name (the taint), and the place in the
 start's queue. The first way to reach a node wins: least place of the node it came from, then ordinary edges before bridges, then
 adjacency order (source_id, target_id, kind; for bridges the node id). So each level is one join, one bridge join and one
 aggregate, for all starts together, and results do not depend on row order.
@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import affinity as A
 from ..functions import ids
-from ..storage import keep
+from ..storage import keep, numbered
 from .callgraph import first_by
 from .scan import is_column_node
 
@@ -26,17 +26,6 @@ HOP_CAPS = {"fk": None, "query": 4, "write": None, "read": 4}
 KEY = ["from_table", "from_col", "to_table", "to_col"]
 
 
-def _adjacency(edges: DataFrame) -> DataFrame:
-    """src, dst in both directions with the edge's place in adjacency order, whether it runs forward (of any kind), whether any edge
-    between the two crosses functions."""
-    data = edges.where(F.col("kind").isin(*S.RELATIONS))
-    place = F.struct("source_id", "target_id", "kind")
-    ways = data.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), place.alias("place")).unionByName(data.select(F.col("target_id").alias("src"), F.col("source_id").alias("dst"), place.alias("place")))
-    least = ways.groupBy("src", "dst").agg(F.min("place").alias("place"), F.max(F.col("place.kind").isin(*S.CROSSING)).alias("crossing"))
-    forward = edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.lit(True).alias("forward")).distinct()
-    return least.join(forward, ["src", "dst"], "left").withColumn("forward", F.coalesce("forward", F.lit(False)))
-
-
 def _bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """src to dst: a node of a named type, to the reads in its function of a field of that type whose value ends in a filter two
     steps on."""
@@ -49,50 +38,66 @@ def _bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return typed.join(reads, "func_id").where(F.col("full_path").contains(F.col("type_name")) & (F.col("src") != F.col("dst"))).select("src", "dst")
 
 
-def _next_taint() -> Column:
-    """The taint behind a step; columns n_* are of the node it leaves, m_* of the node it reaches."""
+def _places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, n: numbers in the order of the ids, for all nodes and ends of edges. The search runs on numbers; their order is the ids'."""
+    ends = edges.where(F.col("kind").isin(*S.RELATIONS))
+    every = nodes.select("id").unionByName(ends.select(F.col("source_id").alias("id"))).unionByName(ends.select(F.col("target_id").alias("id")))
+    return numbered(every.where("id is not null").distinct(), ["id"], "n", "rel-places")
+
+
+def _steps(nodes: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """src, dst in both directions; a, b, c: the first edge between the two in adjacency order; crossing: whether any of them crosses
+    functions; and what the step does to a taint: reads, the column that a read forward asks for (null: nothing); writes, the field
+    that a struct's write must name (null: no such write, '': no name). Steps onto errors are left out."""
+    at = lambda end, name: places.select(F.col("id").alias(end), F.col("n").alias(name))
+    code = F.array_position(F.array(*(F.lit(k) for k in sorted(S.RELATIONS))), F.col("kind"))
+    joined = edges.select("source_id", "target_id", F.when(F.col("kind").isin(*S.RELATIONS), code).alias("c"), F.col("kind").isin(*S.CROSSING).alias("crossing")).join(at("source_id", "s"), "source_id").join(at("target_id", "t"), "target_id")
+    way = lambda x, y, ahead: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(ahead).alias("ahead"))
+    both = joined.select(F.explode(F.array(way("s", "t", True), way("t", "s", False))).alias("w"), F.when(F.col("c").isNotNull(), F.struct("s", "t", "c")).alias("place"), "crossing")
+    least = both.groupBy("w.src", "w.dst").agg(F.min("place").alias("p"), F.max(F.col("crossing") & F.col("place").isNotNull()).alias("crossing"), F.max("w.ahead").alias("ahead")).where("p is not null")
     no = F.lit(False)
-    empty = F.expr("cast(array() as array<string>)")
-    column = A.column_of(F.col("n_name"))
-    reads = (F.col("n_kind") == "field_access") & (F.col("n_access") == "read") & F.col("forward") & (column != "")
-    met = F.when(F.coalesce(reads, no), A.taint_meets(F.col("taint"), column)).otherwise(F.col("taint"))
-    holder = (F.col("n_kind") == "ssa_value") & (F.col("n_type").startswith("*") | F.col("n_type").contains("struct"))
-    writes = (F.col("m_kind") == "field_access") & (F.col("m_access") == "write") & ~F.coalesce(F.col("m_external") == "true", no)
-    field = A.column_of(F.col("m_name"))
-    named = F.slice(F.filter("taint", lambda x: A.normalised(x) == A.normalised(field)), 1, 1)
-    return F.when(F.coalesce(holder & writes, no), F.when(field != "", named).otherwise(empty)).otherwise(met)
+    kind, access, type_ = F.col("kind"), F.col("access_kind"), F.col("type_string")
+    leaves = nodes.select(F.col("id"), F.when((kind == "field_access") & (access == "read") & (A.column_of(F.col("name")) != ""), A.column_of(F.col("name"))).alias("asked"), F.coalesce((kind == "ssa_value") & (type_.startswith("*") | type_.contains("struct")), no).alias("holder"))
+    enters = nodes.select(F.col("id"), F.coalesce(type_ == "error", no).alias("error"), F.when((kind == "field_access") & (access == "write") & ~F.coalesce(F.col("is_external") == "true", no), A.column_of(F.col("name"))).alias("written"))
+    near, far = (x.join(places, "id").drop("id").withColumnRenamed("n", end) for x, end in ((leaves, "src"), (enters, "dst")))
+    known = least.join(near, "src", "left").join(far, "dst", "left").where(~F.coalesce("error", no))
+    return known.select("src", "dst", "p.*", "crossing", F.when(F.col("ahead"), F.col("asked")).alias("reads"), F.when(F.coalesce("holder", no), F.col("written")).alias("writes"))
 
 
 def search(nodes: DataFrame, edges: DataFrame, tables: DataFrame | None = None, depth: int = MAX_DEPTH) -> DataFrame:
     """start, start_name, node, depth, crossed, taint (empty for a node reached by a bridge), from all external column nodes (of the
-    tables, column table_name)."""
-    facts = keep(nodes.select("id", "kind", "name", F.col("access_kind").alias("access"), F.col("type_string").alias("type"), F.col("is_external").alias("external")), "rel-facts")
-    steps = keep(_adjacency(edges), "rel-steps")
-    bridges = keep(_bridges(nodes, edges), "rel-bridges")
-    as_of = lambda p, key: facts.select(F.col("id").alias(key), *(F.col(c).alias(f"{p}_{c}") for c in facts.columns if c != "id"))
-    starts = facts.where((F.col("kind") == "field_access") & (F.col("external") == "true"))
+    tables, column table_name). A taint is the start's column or nothing, so a row holds numbers, flags and that column. A start's
+    level is put in order in one task; rows grow with the nodes within `depth` of each start."""
+    places = keep(_places(nodes, edges), "rel-places")
+    steps = keep(_steps(nodes, edges, places), "rel-steps")
+    number = lambda df, end: df.join(places.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end).drop(end).withColumnRenamed(f"{end}_n", end)
+    bridges = keep(number(number(_bridges(nodes, edges), "src"), "dst"), "rel-bridges")
+    starts = nodes.where((F.col("kind") == "field_access") & (F.col("is_external") == "true"))
     if tables is not None:
         starts = starts.join(tables.select(F.col("table_name")), A.table_of(F.col("name")) == F.col("table_name"), "left_semi")
-    taint = F.array(A.column_after_table(F.col("name")))
-    level = keep(starts.select(F.col("id").alias("start"), F.col("name").alias("start_name"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("crossed"), taint.alias("taint"), taint.alias("carried"), F.lit(1).alias("place")), "rel-level")
+    names = keep(number(starts.select(F.col("id").alias("start"), F.col("name").alias("start_name"), A.column_after_table(F.col("name")).alias("column")), "start"), "rel-starts")
+    yes = F.lit(True)
+    level = keep(names.select("start", "column", F.col("start").alias("node"), F.lit(0).alias("depth"), F.lit(False).alias("crossed"), yes.alias("taint"), yes.alias("carried"), F.lit(1).alias("place")), "rel-level")
     seen = level
-    empty = F.expr("cast(array() as array<string>)")
+    same = lambda a, b: F.lower(a) == F.lower(b)
+    kept = F.col("taint") & (F.col("reads").isNull() | same(F.col("column"), F.col("reads")))
+    named = F.col("taint") & (F.col("writes") != "") & A.same_column(F.col("column"), F.col("writes"))
+    taint = F.when(F.col("writes").isNotNull(), named).otherwise(kept)
+    zero = F.lit(0).cast("long")
     for d in range(1, depth + 1):
-        at = level.select("start", "start_name", F.col("node").alias("src"), F.col("crossed").alias("was"), F.col("carried").alias("taint"), F.col("place").alias("from"))
-        stepped = at.join(steps, "src").join(as_of("n", "src"), "src", "left").join(as_of("m", "dst"), "dst", "left").where(~F.coalesce(F.col("m_type") == "error", F.lit(False)))
-        order = lambda kind, *by: F.struct(F.col("from").alias("from"), F.lit(kind).alias("kind"), *by).alias("order")
-        text = lambda c: F.col(c).cast("string")
-        edge_place = [F.col("place.source_id").alias("a"), F.col("place.target_id").alias("b"), F.col("place.kind").alias("c")]
-        one = stepped.select("start", "start_name", F.col("dst").alias("node"), order(0, *edge_place), (F.col("was") | F.col("crossing")).alias("crossed"), _next_taint().alias("taint")).withColumn("carried", F.col("taint"))
-        two = at.join(bridges, "src").select("start", "start_name", F.col("dst").alias("node"), order(1, text("dst").alias("a"), F.lit("").alias("b"), F.lit("").alias("c")), F.col("was").alias("crossed"), empty.alias("taint"), F.col("taint").alias("carried"))
-        fresh = one.unionByName(two).join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        best = fresh.groupBy("start", "start_name", "node").agg(F.min(F.struct("order", "crossed", "taint", "carried")).alias("w"))
-        placed = best.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy("w.order")))
-        level = keep(placed.select("start", "start_name", "node", F.lit(d).alias("depth"), "w.crossed", "w.taint", "w.carried", "place"), "rel-level")
+        at = level.select("start", "column", F.col("node").alias("src"), F.col("crossed").alias("was"), F.col("carried").alias("taint"), F.col("place").alias("from"))
+        one = at.join(steps, "src").select("start", "column", F.col("dst").alias("node"), F.struct("from", F.lit(0).alias("bridge"), F.col("s").alias("a"), F.col("t").alias("b"), F.col("c").cast("long").alias("c")).alias("order"), (F.col("was") | F.col("crossing")).alias("crossed"), taint.alias("taint"), taint.alias("carried"))
+        two = at.join(bridges, "src").select("start", "column", F.col("dst").alias("node"), F.struct("from", F.lit(1).alias("bridge"), F.col("dst").alias("a"), zero.alias("b"), zero.alias("c")).alias("order"), F.col("was").alias("crossed"), F.lit(False).alias("taint"), F.col("taint").alias("carried"))
+        best = one.unionByName(two).groupBy("start", "node").agg(F.min(F.struct("order", "column", "crossed", "taint", "carried")).alias("w"))
+        fresh = best.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        placed = fresh.withColumn("place", F.row_number().over(Window.partitionBy("start").orderBy("w.order")))
+        level = keep(placed.select("start", "w.column", "node", F.lit(d).alias("depth"), "w.crossed", "w.taint", "w.carried", "place"), "rel-level")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
-    return seen.drop("carried", "place")
+    found = seen.join(names.drop("column"), "start").withColumn("taint", F.filter(F.array("column"), lambda _: F.col("taint")))
+    as_id = lambda df, end: df.join(places.select(F.col("n").alias(end), F.col("id").alias(f"{end}_id")), end).drop(end).withColumnRenamed(f"{end}_id", end)
+    return as_id(as_id(found, "start"), "node").select("start", "start_name", "node", "depth", "crossed", "taint")
 
 
 def classify(nodes: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from ..functions import affinity as A
 from ..functions import gittext, ids, naming
 from ..functions.sqltext import condition_columns_udf, parse_sql
 from ..operators import bundle, callgraph, closure, deadcode, ingest, modules, relations, scan, trace, virtual_columns
-from ..sources import sinks
+from ..sources import readers, sinks
+from ..storage import shared_folder
 from . import shop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,9 +140,9 @@ def _(spark, d):
     return scan.grouped_fields(shop.graph(spark, d).summary).select("function_id", *(F.array_join(c, ",").alias(c) for c in ("direct_reads", "direct_writes", "indirect_writes")))
 
 
-@query("json_export", "SELECT count(*) AS n FROM g_summary")
+@query("json_export", """SELECT format('{{"function_id":"{}","access_kind":"{}","field_path":"{}","line_start":{}}}', function_id, access_kind, field_path, line_start) AS json FROM g_summary""")
 def _(spark, d):
-    return sinks.as_json(shop.graph(spark, d).summary).where(F.col("json").startswith('{"function_id":')).agg(F.count(F.lit(1)).alias("n"))
+    return sinks.as_json(shop.graph(spark, d).summary)
 
 
 # --- ingestion -----------------------------------------------------------------------------------------------------
@@ -155,7 +157,7 @@ def _versions(spark, d):
 
 
 @query("node_upsert", """
-WITH v AS (SELECT 'n' || o_custkey AS id, o_orderstatus AS name, 'k' || (o_orderkey % 3) AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey::VARCHAR END AS v, o_orderkey AS seq FROM orders WHERE o_custkey % 5 = 0),
+WITH v AS (SELECT 'n' || o_custkey AS id, o_orderstatus AS name, 'k' || (o_orderkey % 3) AS k, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey::VARCHAR END AS v, o_orderkey AS seq FROM orders),
 l AS (SELECT id, k, arg_max(coalesce(v, ''), seq) AS v FROM v GROUP BY id, k),
 p AS (SELECT id, string_agg(k || '=' || v, ',' ORDER BY k) AS props FROM l WHERE v <> '' GROUP BY id)
 SELECT f.id, f.name, coalesce(p.props, '') AS props FROM (SELECT id, arg_min(name, seq) AS name FROM v GROUP BY id) f LEFT JOIN p USING (id)
@@ -166,6 +168,20 @@ def _(spark, d):
     return up.select("id", "name", text.alias("props"))
 
 
+@query("item_files", """
+WITH v AS (SELECT 'n' || o_custkey AS id, o_orderstatus AS name, 'k' || (o_orderkey % 3) AS k, o_orderkey::VARCHAR AS v, o_orderkey AS seq FROM orders),
+l AS (SELECT id, k, arg_max(v, seq) AS v FROM v GROUP BY id, k)
+SELECT f.id, f.name, p.props FROM (SELECT id, arg_min(name, seq) AS name FROM v GROUP BY id) f JOIN (SELECT id, string_agg(k || '=' || v, ',' ORDER BY k) AS props FROM l GROUP BY id) p USING (id)
+""", bare=True)
+def _(spark, d):
+    """Orders written as item files, whose names follow the order of arrival, and read again."""
+    rows = _versions(spark, d).withColumn("properties", F.create_map(F.concat(F.lit("k"), F.col("seq") % 3), F.col("seq").cast("string")))
+    folder = f"{shared_folder(spark)}/items-{uuid.uuid4().hex[:12]}"
+    rows.repartitionByRange("seq").sortWithinPartitions("seq").select(F.struct("id", "kind", "name", "file_path", "line_start", "line_end", "properties").alias("node")).write.json(folder)
+    up = ingest.upsert_nodes(ingest.split_items(readers.items(spark, folder))[0])
+    return up.select("id", "name", F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("props"))
+
+
 @query("edge_upsert", """
 WITH e AS (SELECT l_partkey % 50 AS s, l_suppkey AS t, l_quantity AS q, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY q DESC, seq) AS n FROM e)
@@ -303,23 +319,28 @@ def _(spark, d):
 
 
 _PATH = """
-WITH k AS (SELECT DISTINCT source_id AS a, target_id AS b FROM g_edges WHERE kind IN {kinds}),
-r(id, d) AS (SELECT '{start}', 0 UNION SELECT k.b, d + 1 FROM r JOIN k ON k.a = r.id WHERE d < {depth})
-SELECT min(d)::BIGINT AS steps FROM r WHERE id = '{end}' HAVING min(d) IS NOT NULL
+WITH e AS (SELECT source_id AS a, target_id AS b, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM g_edges WHERE kind IN {kinds} GROUP BY 1, 2),
+z AS ({ends}),
+r(id, d) AS (SELECT z.a, 0 FROM z UNION SELECT e.b, d + 1 FROM r JOIN e ON e.a = r.id WHERE d < {depth}),
+l AS (SELECT id, min(d) AS d FROM r GROUP BY 1),
+w(id, d) AS (SELECT l.id, l.d FROM l JOIN z ON z.b = l.id UNION ALL SELECT (SELECT min(e.a) FROM e JOIN l ON l.id = e.a AND l.d = w.d - 1 WHERE e.b = w.id), w.d - 1 FROM w WHERE w.d > 0)
+SELECT w.d::BIGINT AS step, w.id, coalesce(e.kinds, '') AS edge_kinds FROM w LEFT JOIN w v ON v.d = w.d - 1 LEFT JOIN e ON e.a = v.id AND e.b = w.id
 """
 
 
-@query("shortest_path_calls", _PATH.format(kinds="('calls', 'passes_to', 'passes_result')", start=CUSTOMER, end="symbol:go:shop/cust:f13", depth=12))
+@query("shortest_path_calls", _PATH.format(kinds="('calls', 'passes_to', 'passes_result')", ends=f"SELECT '{CUSTOMER}' AS a, 'symbol:go:shop/cust:f13' AS b", depth=12))
 def _(spark, d):
-    path = callgraph.shortest_path(shop.graph(spark, d).edges, CUSTOMER, "symbol:go:shop/cust:f13", "calls", 12)
-    return path.agg(F.max("step").cast("long").alias("steps")).where("steps is not null")
+    return _longs(callgraph.shortest_path(shop.graph(spark, d).edges, CUSTOMER, "symbol:go:shop/cust:f13", "calls", 12))
+
 
+#: The first and the 13th event of the user, by time.
+_ENDS = "SELECT min(CASE WHEN n = 1 THEN id END) AS a, min(CASE WHEN n = 13 THEN id END) AS b FROM (SELECT id, row_number() OVER (ORDER BY ts, event_id) AS n FROM (SELECT 'symbol:go:shop/user:u' || user_id || CASE WHEN event_id % 10 = 0 THEN '#ext.sql.' ELSE '#v' END || event_id AS id, ts, event_id FROM {events} WHERE user_id = 5) u) o"
 
-@query("shortest_path_data")
+
+@query("shortest_path_data", _PATH.format(kinds="('data_flows_to', 'argument', 'returns', 'phi_operand', 'summary_io')", ends=_ENDS.format(events="events"), depth=20))
 def _(spark, d):
-    g = shop.graph(spark, d)
-    ends = g.nodes.where((F.col("func_id") == USER) & (F.col("kind") != "function")).orderBy("id").limit(1).unionByName(g.nodes.where((F.col("func_id") == USER) & (F.col("kind") != "function")).orderBy(F.col("id").desc()).limit(1)).select("id").collect()
-    return callgraph.shortest_path(g.edges, ends[0][0], ends[1][0], "data", 20)
+    ends = spark.sql(_ENDS, events=spark.read.parquet(f"{d}/events.parquet")).first()
+    return _longs(callgraph.shortest_path(shop.graph(spark, d).edges, ends[0], ends[1], "data", 20))
 
 
 @query("symbol_detail", f"""
@@ -334,7 +355,7 @@ def _(spark, d):
     return callgraph.symbol_detail(g.nodes, g.edges, some).select("id", "name", text("callers"), text("callees"))
 
 
-@query("resolve_symbol", "SELECT 'symbol:go:shop/cust:f12' AS id")
+@query("resolve_symbol", "SELECT id FROM g_nodes WHERE name = 'f12' AND kind NOT IN ('field_access', 'ssa_value', 'external_summary')")
 def _(spark, d):
     return _ids(spark, callgraph.resolve_symbol(shop.graph(spark, d).nodes, "f12"))
 
@@ -349,12 +370,12 @@ _NEXT = "CASE WHEN r.edge_kinds = '' THEN e.kind ELSE r.edge_kinds || ',' || e.k
 WITH r(id, depth, name, edge_kinds, line) AS (
   SELECT id, 0, name, '', line_start FROM g_nodes WHERE kind = 'field_access' AND full_path = '{FIELD}' AND func_id = '{USER}'
   UNION SELECT e.source_id, r.depth + 1, n.name, {_NEXT}, n.line_start FROM r JOIN g_edges e ON e.target_id = r.id JOIN g_nodes n ON n.id = e.source_id
-  WHERE e.kind IN ('data_flows_to', 'argument', 'returns', 'alias', 'phi_operand') AND r.depth < 5)
+  WHERE e.kind IN ('data_flows_to', 'argument', 'returns', 'alias', 'phi_operand') AND r.depth < 8)
 SELECT id, depth::BIGINT AS depth, name, edge_kinds, line::BIGINT AS line FROM r
 """)
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.trace_backward(g.nodes, g.edges, FIELD, USER, 5))
+    return _longs(trace.trace_backward(g.nodes, g.edges, FIELD, USER, steps=g.steps))
 
 
 def _longs(df: DataFrame) -> DataFrame:
@@ -368,104 +389,151 @@ WITH r(id, depth, name, edge_kinds, line, is_usage, kind) AS (
   UNION SELECT id, 0, name, '', line_start, false, kind FROM g_nodes WHERE kind = 'field_access' AND func_id = '{USER}' AND type_string IN ('shop/user.T1', '*shop/user.T1')
   UNION SELECT e.target_id, r.depth + 1, n.name, {_NEXT}, n.line_start, n.kind = 'field_access' AND coalesce(n.full_path = '{FIELD}', false), n.kind
   FROM r JOIN g_edges e ON e.source_id = r.id JOIN g_nodes n ON n.id = e.target_id
-  WHERE e.kind IN ('data_flows_to', 'argument', 'returns', 'phi_operand', 'alias') AND r.depth < 3
+  WHERE e.kind IN ('data_flows_to', 'argument', 'returns', 'phi_operand', 'alias') AND r.depth < 8
     AND (n.kind <> 'field_access' OR coalesce(n.full_path = '{FIELD}', false) OR (r.kind <> 'field_access' AND coalesce(n.access_kind = 'read', false) AND (coalesce(n.full_path LIKE '%.F1', false) OR coalesce(n.type_string LIKE '%shop/user.%', false)))))
 SELECT DISTINCT id, depth::BIGINT AS depth, name, edge_kinds, line::BIGINT AS line, is_usage FROM r
 """)
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.trace_forward(g.nodes, g.edges, FIELD, USER, 3))
+    return _longs(trace.trace_forward(g.nodes, g.edges, FIELD, USER, steps=g.steps))
 
 
-@query("trace_indirect")
+@query("trace_indirect", f"""
+WITH f AS (SELECT 'symbol:go:shop/user:u' || u AS id FROM (VALUES (5), (7), (9)) v(u)),
+r(id, depth, name, kinds, line, kind, access, func_id, full_path) AS (
+  SELECT n.id, 0, name, '', line_start, kind, access_kind, func_id, full_path FROM g_nodes n JOIN f ON f.id = func_id WHERE kind = 'field_access' AND full_path = '{FIELD}' AND access_kind = 'write'
+  UNION SELECT n.id, r.depth + 1, n.name, CASE WHEN r.kinds = '' THEN e.kind ELSE r.kinds || ',' || e.kind END, n.line_start, n.kind, n.access_kind, n.func_id, n.full_path
+  FROM r JOIN g_edges e ON e.target_id = r.id AND e.kind = 'data_flows_to' JOIN g_nodes n ON n.id = e.source_id WHERE r.depth < 8)
+SELECT id, depth::BIGINT AS depth, name, kinds AS edge_kinds, line::BIGINT AS line, kind, access, func_id, full_path FROM r
+""")
 def _(spark, d):
     g = shop.graph(spark, d)
-    chain = spark.createDataFrame([(USER, "indirect_write", FIELD, 3, "symbol:go:shop/user:u7"), ("symbol:go:shop/user:u7", "indirect_write", FIELD, 4, "symbol:go:shop/user:u9")], "function_id string, access_kind string, field_path string, call_line int, callee_id string")
-    return _longs(trace.trace_indirect(g.nodes, g.edges, chain, FIELD, USER, 4))
+    u = "symbol:go:shop/user:u{}".format
+    chain = [(u(5), "indirect_write", FIELD, 3, u(7)), (u(7), "indirect_write", FIELD, 4, u(9)), (u(7), "indirect_write", FIELD, 4, u(5)), (u(7), "direct_write", FIELD, 4, u(11)), (u(9), "indirect_write", "shop/user.T0.F0", 4, u(13))]
+    origins = spark.createDataFrame(chain, "function_id string, access_kind string, field_path string, call_line int, callee_id string")
+    return _longs(trace.trace_indirect(g.nodes, g.edges, origins, FIELD, USER, steps=g.steps))
 
 
 @query("function_flows", f"""
 WITH n AS (SELECT * FROM g_nodes WHERE func_id = '{USER}'), e AS (SELECT * FROM g_edges WHERE kind IN ('data_flows_to', 'phi_operand')),
 b(id, depth, name, edge_kinds, line, ctx) AS (SELECT id, 0, name, '', line_start, full_path FROM n WHERE kind = 'field_access'
-  UNION SELECT e.source_id, r.depth + 1, n.name, {_NEXT}, n.line_start, r.ctx FROM b r JOIN e ON e.target_id = r.id JOIN n ON n.id = e.source_id WHERE r.depth < 6 AND (n.kind <> 'field_access' OR n.full_path = r.ctx)),
+  UNION SELECT e.source_id, r.depth + 1, n.name, {_NEXT}, n.line_start, r.ctx FROM b r JOIN e ON e.target_id = r.id JOIN n ON n.id = e.source_id WHERE r.depth < 8 AND (n.kind <> 'field_access' OR n.full_path = r.ctx)),
 f(id, depth, name, edge_kinds, line, ctx) AS (SELECT id, 0, name, '', line_start, full_path FROM n WHERE kind = 'field_access'
-  UNION SELECT e.target_id, r.depth + 1, n.name, {_NEXT}, n.line_start, r.ctx FROM f r JOIN e ON e.source_id = r.id JOIN n ON n.id = e.target_id WHERE r.depth < 6 AND (n.kind <> 'field_access' OR n.full_path = r.ctx))
+  UNION SELECT e.target_id, r.depth + 1, n.name, {_NEXT}, n.line_start, r.ctx FROM f r JOIN e ON e.source_id = r.id JOIN n ON n.id = e.target_id WHERE r.depth < 8 AND (n.kind <> 'field_access' OR n.full_path = r.ctx))
 SELECT id, depth::BIGINT AS depth, name, edge_kinds, line::BIGINT AS line, 0::BIGINT AS dir FROM b UNION ALL SELECT id, depth, name, edge_kinds, line, 1 FROM f WHERE depth > 0
 """)
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.function_flows(g.nodes, g.edges, USER, 6).select(*_TRACE_COLUMNS, "dir"))
+    return _longs(trace.function_flows(g.nodes, g.edges, USER, steps=g.steps).select(*_TRACE_COLUMNS, "dir"))
 
 
+_DATA = "('data_flows_to', 'argument', 'returns', 'phi_operand', 'summary_io')"
+#: The value trace of the nodes in table a (id, ctx, inst): anchor, id, dir, depth, parent and the rest of a row, as table vt.
 _VT = """
-WITH a AS (SELECT id, coalesce(CASE WHEN kind = 'field_access' THEN full_path END, '') AS ctx, coalesce(CASE WHEN kind = 'field_access' THEN coalesce(instance_path, full_path) END, '') AS inst FROM g_nodes WHERE func_id = '{user}' AND kind <> 'function' AND {pick}),
 e AS (SELECT * FROM g_edges WHERE kind IN ('data_flows_to', 'argument', 'returns', 'phi_operand', 'summary_io') AND (candidate_origin IS NULL OR cand_confidence >= {conf})),
 b(anchor, id, depth, parent) AS (SELECT id, id, 0, NULL::VARCHAR FROM a
-  UNION SELECT r.anchor, e.source_id, r.depth + 1, r.id FROM b r JOIN a ON a.id = r.anchor JOIN e ON e.target_id = r.id JOIN g_nodes n ON n.id = e.source_id WHERE r.depth < {depth}
+  UNION SELECT r.anchor, e.source_id, r.depth + 1, r.id FROM b r JOIN a ON a.id = r.anchor JOIN e ON e.target_id = r.id JOIN g_nodes n ON n.id = e.source_id WHERE r.depth < 8
     AND (n.kind <> 'field_access' OR coalesce(n.full_path = ctx, false) OR ctx = '' OR n.is_external = 'true' OR coalesce(n.access_kind = 'read', false) {cont})),
 f(anchor, id, depth, parent) AS (SELECT id, id, 0, NULL::VARCHAR FROM a
-  UNION SELECT r.anchor, e.target_id, r.depth + 1, r.id FROM f r JOIN a ON a.id = r.anchor JOIN e ON e.source_id = r.id JOIN g_nodes n ON n.id = e.target_id WHERE r.depth < {depth}
+  UNION SELECT r.anchor, e.target_id, r.depth + 1, r.id FROM f r JOIN a ON a.id = r.anchor JOIN e ON e.source_id = r.id JOIN g_nodes n ON n.id = e.target_id WHERE r.depth < 8
     AND (n.kind <> 'field_access' OR coalesce(n.full_path = ctx, false) OR ctx = '' OR n.is_external = 'true' OR coalesce(n.access_kind = 'write', false) {cont})),
 u AS (SELECT anchor, id, 0 AS dir, depth, parent FROM b UNION ALL SELECT anchor, id, 1, depth, parent FROM f WHERE depth > 0),
-m AS (SELECT *, rank() OVER (PARTITION BY anchor, id, dir ORDER BY depth) AS k FROM u),
+m AS (SELECT anchor, id, dir, min(depth) AS depth, min(parent) AS parent FROM (SELECT *, rank() OVER (PARTITION BY anchor, id, dir ORDER BY depth) AS k FROM u) WHERE k = 1 GROUP BY 1, 2, 3),
+s0 AS (SELECT *, row_number() OVER (PARTITION BY source_id, target_id ORDER BY interface NULLS FIRST, candidate_origin NULLS FIRST, cand_confidence NULLS FIRST) AS k FROM e),
+c(anchor, id, dir, depth, edge_iface, edge_origin, edge_conf) AS (SELECT id, id, d, 0, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE FROM a, (VALUES (0), (1)) v(d)
+  UNION ALL SELECT m.anchor, m.id, m.dir, m.depth, CASE WHEN candidate_origin IS NULL THEN c.edge_iface ELSE interface END, coalesce(candidate_origin, c.edge_origin), CASE WHEN candidate_origin IS NULL THEN c.edge_conf ELSE cand_confidence END
+  FROM c JOIN m ON m.anchor = c.anchor AND m.dir = c.dir AND m.depth = c.depth + 1 AND m.parent = c.id JOIN s0 ON k = 1 AND source_id = CASE WHEN m.dir = 0 THEN m.id ELSE c.id END AND target_id = CASE WHEN m.dir = 0 THEN c.id ELSE m.id END),
 k0 AS (SELECT target_id AS id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM g_edges WHERE kind IN ('data_flows_to', 'argument', 'returns', 'phi_operand', 'summary_io') GROUP BY 1),
-k1 AS (SELECT source_id AS id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM g_edges WHERE kind IN ('data_flows_to', 'argument', 'returns', 'phi_operand', 'summary_io') GROUP BY 1)
-SELECT m.anchor, m.id, m.dir::BIGINT AS dir, min(m.depth)::BIGINT AS depth, min(m.parent) AS parent, any_value(n.name) AS name,
-  any_value(coalesce(CASE WHEN m.dir = 0 THEN k0.kinds ELSE k1.kinds END, '')) AS edge_kinds, any_value(coalesce(nullif(n.file_path, ''), w.file_path)) AS file_path
-FROM m JOIN g_nodes n ON n.id = m.id LEFT JOIN k0 ON k0.id = m.id LEFT JOIN k1 ON k1.id = m.id LEFT JOIN g_nodes w ON w.id = n.func_id AND w.kind IN ('function', 'method')
-WHERE k = 1 GROUP BY m.anchor, m.id, m.dir
+k1 AS (SELECT source_id AS id, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM g_edges WHERE kind IN ('data_flows_to', 'argument', 'returns', 'phi_operand', 'summary_io') GROUP BY 1),
+vt AS (SELECT m.anchor, m.id, m.dir::BIGINT AS dir, m.depth::BIGINT AS depth, m.parent, n.name, coalesce(CASE WHEN m.dir = 0 THEN k0.kinds ELSE k1.kinds END, '') AS edge_kinds, coalesce(nullif(n.file_path, ''), w.file_path) AS file_path,
+    n.kind, n.line_start::BIGINT AS line, n.access_kind AS access, n.func_id, n.full_path, c.edge_iface, c.edge_origin, c.edge_conf
+  FROM m JOIN g_nodes n ON n.id = m.id LEFT JOIN c ON c.anchor = m.anchor AND c.id = m.id AND c.dir = m.dir AND c.depth = m.depth LEFT JOIN k0 ON k0.id = m.id LEFT JOIN k1 ON k1.id = m.id LEFT JOIN g_nodes w ON w.id = n.func_id AND w.kind IN ('function', 'method'))
 """
 _CONTAINER = "OR (ctx <> '' AND coalesce(starts_with(coalesce(n.instance_path, n.full_path), inst) OR starts_with(inst, coalesce(n.instance_path, n.full_path)), false))"
-_VT_COLUMNS = ("anchor", "id", "dir", "depth", "parent", "name", "edge_kinds", "file_path")
+_VT_COLUMNS = ("anchor", "id", "dir", "depth", "parent", "name", "edge_kinds", "file_path", "edge_iface", "edge_origin", "edge_conf")
+_ANCHORS = "WITH a AS (SELECT id, coalesce(CASE WHEN kind = 'field_access' THEN full_path END, '') AS ctx, coalesce(CASE WHEN kind = 'field_access' THEN coalesce(instance_path, full_path) END, '') AS inst FROM g_nodes WHERE {pick}),"
+_OWN = _ANCHORS.format(pick=f"func_id = '{USER}' AND kind <> 'function'")
+_VT_SHOWN = f"SELECT {', '.join(_VT_COLUMNS)} FROM vt"
 
 
-def _own_values(g: shop.Graph, pick: str) -> DataFrame:
+def _own_values(g: shop.Graph, pick: str = "true") -> DataFrame:
     return g.nodes.where((F.col("func_id") == USER) & (F.col("kind") != "function")).where(pick).select("id")
 
 
-@query("value_trace", _VT.format(user=USER, pick="line_start % 5 = 0", conf=0.0, depth=6, cont=""))
+@query("value_trace", _OWN + _VT.format(conf=0.0, cont="") + _VT_SHOWN)
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.value_trace(g.nodes, g.edges, _own_values(g, "line_start % 5 = 0"), 6).select(*_VT_COLUMNS))
+    return _longs(trace.value_trace(g.nodes, g.edges, _own_values(g), steps=g.steps).select(*_VT_COLUMNS))
 
 
-@query("value_trace_container", _VT.format(user=USER, pick="line_start % 7 = 0", conf=0.8, depth=5, cont=_CONTAINER))
+@query("value_trace_container", _OWN + _VT.format(conf=0.8, cont=_CONTAINER) + _VT_SHOWN)
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.value_trace(g.nodes, g.edges, _own_values(g, "line_start % 7 = 0"), 5, 0.8, True).select(*_VT_COLUMNS))
+    return _longs(trace.value_trace(g.nodes, g.edges, _own_values(g), confidence=0.8, container=True, steps=g.steps).select(*_VT_COLUMNS))
 
 
 @query("value_trace_multi", f"""
 WITH f(id, dir, depth) AS (SELECT id, 0, 0 FROM g_nodes WHERE func_id = '{USER}' AND kind = 'field_access' AND access_kind = 'read'
-  UNION SELECT e.target_id, 1, f.depth + 1 FROM f JOIN g_edges e ON e.source_id = f.id JOIN g_nodes n ON n.id = e.target_id WHERE f.depth < 4 AND e.kind IN ('data_flows_to', 'argument', 'returns', 'phi_operand', 'summary_io')
+  UNION SELECT e.target_id, 1, f.depth + 1 FROM f JOIN g_edges e ON e.source_id = f.id JOIN g_nodes n ON n.id = e.target_id WHERE f.depth < 4 AND e.kind IN {_DATA}
     AND (n.kind <> 'field_access' OR coalesce(n.full_path = '{FIELD}', false) OR n.is_external = 'true' OR coalesce(n.access_kind = 'write', false)))
 SELECT f.id, f.dir::BIGINT AS dir, min(f.depth)::BIGINT AS depth, any_value(n.name) AS name FROM f JOIN g_nodes n ON n.id = f.id GROUP BY f.id, f.dir
 """)
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.value_trace_multi(g.nodes, g.edges, _own_values(g, "kind = 'field_access' and access_kind = 'read'"), FIELD).select("id", "dir", "depth", "name"))
+    return _longs(trace.value_trace_multi(g.nodes, g.edges, _own_values(g, "kind = 'field_access' and access_kind = 'read'"), FIELD, steps=g.steps).select("id", "dir", "depth", "name"))
 
 
 def _write_anchor(g: shop.Graph) -> str:
     return g.nodes.where("kind = 'field_access' and access_kind = 'write' and is_external = 'false'").orderBy("line_start", "id").select("id").first()[0]
 
 
-@query("downstream_trampoline")
+_WRITTEN = "WITH o AS (SELECT * FROM g_nodes WHERE kind = 'field_access' AND access_kind = 'write' AND is_external = 'false' ORDER BY line_start, id LIMIT 1),"
+#: Behind the anchor in table o: t0, the first reads of its field; tr, the rows of the trampoline.
+_TRAMPOLINE = f"""
+t0 AS (SELECT n.* FROM g_nodes n JOIN o ON o.kind = 'field_access' AND o.access_kind = 'write' AND n.full_path = o.full_path AND n.id <> o.id WHERE n.kind = 'field_access' AND n.access_kind = 'read' ORDER BY n.line_start, n.id LIMIT 8),
+t1(id, dir, depth) AS (SELECT id, 0, 0 FROM t0 UNION SELECT e.target_id, 1, t1.depth + 1 FROM t1 JOIN g_edges e ON e.source_id = t1.id AND e.kind IN {_DATA} JOIN g_nodes n ON n.id = e.target_id WHERE t1.depth < 4
+    AND (n.kind <> 'field_access' OR coalesce(n.full_path = (SELECT full_path FROM o), false) OR n.is_external = 'true' OR coalesce(n.access_kind = 'write', false))),
+i0 AS (SELECT target_id AS id, 0 AS dir, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM g_edges WHERE kind IN {_DATA} GROUP BY 1 UNION ALL SELECT source_id, 1, string_agg(DISTINCT kind, ',' ORDER BY kind) FROM g_edges WHERE kind IN {_DATA} GROUP BY 1),
+tr AS (SELECT 0 AS part, id, 0::BIGINT AS depth, name, '' AS edge_kinds, line_start::BIGINT AS line, 1::BIGINT AS dir, kind, file_path, 'read' AS access, func_id, full_path FROM t0
+  UNION ALL SELECT 1, x.id, x.depth::BIGINT, n.name, coalesce(i0.kinds, ''), n.line_start::BIGINT, x.dir::BIGINT, n.kind, coalesce(nullif(n.file_path, ''), w.file_path), n.access_kind, n.func_id, n.full_path
+  FROM (SELECT id, dir, min(depth) AS depth FROM t1 GROUP BY 1, 2) x JOIN g_nodes n ON n.id = x.id LEFT JOIN i0 ON i0.id = x.id AND i0.dir = x.dir LEFT JOIN g_nodes w ON w.id = n.func_id AND w.kind IN ('function', 'method'))
+"""
+_WRITE = _WRITTEN + _TRAMPOLINE.strip() + "," + _ANCHORS.format(pick="id = (SELECT id FROM o)").removeprefix("WITH") + _VT.format(conf=0.0, cont="")
+
+
+@query("downstream_trampoline", _WRITTEN + _TRAMPOLINE.strip() + "\nSELECT * EXCLUDE (part) FROM tr")
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.trampoline(g.nodes, g.edges, _write_anchor(g)).drop("part"))
+    return _longs(trace.trampoline(g.nodes, g.edges, _write_anchor(g), g.steps).drop("part"))
 
 
-@query("lifecycle")
+@query("lifecycle", _WRITE + """
+SELECT id, depth, dir, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part, dir, depth) AS k FROM (SELECT -1 AS part, id, depth, dir, name FROM vt UNION ALL SELECT part, id, depth, dir, name FROM tr)) WHERE k = 1
+""")
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.lifecycle(g.nodes, g.edges, _write_anchor(g)).select("id", "depth", "dir", "name"))
+    return _longs(trace.lifecycle(g.nodes, g.edges, _write_anchor(g), g.steps).select("id", "depth", "dir", "name"))
+
 
+#: Table main, the rows of the summary chain.
+_CHAIN = """
+
+sp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir, depth ORDER BY id) AS k FROM vt) WHERE k = 1),
+ch AS (SELECT dir AS part, 0 AS sub, CASE WHEN dir = 0 THEN -depth ELSE depth END AS place, id, name, kind, access, line, func_id, file_path FROM sp
+  UNION ALL SELECT 2, part, depth, id, name, kind, access, line, func_id, file_path FROM tr WHERE (SELECT count(*) FROM sp WHERE dir = 1) <= 1),
+nu AS (SELECT *, row_number() OVER (ORDER BY part, sub, place, id) AS n, count(*) OVER () AS last, regexp_extract(coalesce(func_id, ''), '([^:]*)$', 1) AS func FROM ch),
+ki AS (SELECT *, CASE WHEN n = 1 THEN 'entry' WHEN name LIKE 'sql.%' OR name LIKE 'metric%' THEN 'write' WHEN kind = 'field_access' AND access = 'write' THEN 'write' WHEN kind = 'field_access' AND access = 'read' THEN 'consume' WHEN n = last THEN 'consume' ELSE 'compute' END AS sk FROM nu),
+fi AS (SELECT *, row_number() OVER w AS first, first_value(CASE WHEN sk IN ('write', 'consume') THEN sk END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS better FROM ki WINDOW w AS (PARTITION BY name, file_path, line, func ORDER BY n)),
+main AS (SELECT n AS step, CASE WHEN sk = 'compute' THEN coalesce(better, sk) ELSE sk END AS step_kind, name, file_path, line, func FROM fi WHERE first = 1)
+"""
 
-@query("summary_chain")
+
+@query("summary_chain", _WRITE.rstrip() + "," + _CHAIN + """
+SELECT * FROM main
+""")
 def _(spark, d):
     g = shop.graph(spark, d)
-    return _longs(trace.summary_chain(g.nodes, g.edges, _write_anchor(g)))
+    return _longs(trace.summary_chain(g.nodes, g.edges, _write_anchor(g), g.steps))
 
 
 @query("dispatch_marks", """
@@ -502,7 +570,26 @@ def _(spark, d):
     return deadcode.uncalled(g.nodes, g.edges).select("id", "referenced", "exported")
 
 
-@query("isolated_chains")
+#: Table chains, by closure: a function is in the chain of the only head among all that lead to it, if none of these is on a cycle;
+#: a ring is a cycle whose members have no caller but each other.
+_CHAINS = """
+fn AS (SELECT id, name FROM g_nodes WHERE kind IN ('function', 'method') AND file_path NOT LIKE '%\\_test.go' ESCAPE '\\'),
+na AS (SELECT id FROM fn WHERE name NOT IN ('main', 'init')),
+rf AS (SELECT target_id AS id FROM g_edges WHERE kind IN ('passes_to', 'dispatch_to', 'initializes') UNION SELECT n.func_id FROM g_edges e JOIN g_nodes n ON n.id = e.source_id WHERE e.kind = 'data_flows_to' AND e.target_id LIKE 'symbol:go:%:var.%' AND n.func_id IS NOT NULL),
+ca AS (SELECT DISTINCT source_id AS a, target_id AS x FROM g_edges WHERE kind = 'calls' AND target_id IN (SELECT id FROM fn)),
+an(x, a) AS (SELECT x, a FROM ca UNION SELECT an.x, ca.a FROM an JOIN ca ON ca.x = an.a),
+up AS (SELECT x, a FROM an UNION SELECT id, id FROM na),
+cy AS (SELECT x FROM an WHERE x = a),
+hd AS (SELECT id FROM na WHERE id NOT IN (SELECT x FROM ca) AND id NOT IN (SELECT id FROM rf)),
+st AS (SELECT x, min(a) AS head FROM up WHERE x IN (SELECT id FROM na) GROUP BY x
+  HAVING count(*) FILTER (a NOT IN (SELECT x FROM ca)) = 1 AND count(*) FILTER (a IN (SELECT x FROM cy) OR a NOT IN (SELECT id FROM na)) = 0),
+so AS (SELECT st.x, up.a AS head FROM st JOIN up ON up.x = st.x WHERE up.a NOT IN (SELECT x FROM ca)),
+ri AS (SELECT an.x, min(an.a) AS head, max(CASE WHEN an.a IN (SELECT id FROM na) AND an.a NOT IN (SELECT id FROM rf) THEN 1 ELSE 0 END) AS fits FROM an JOIN cy ON cy.x = an.x LEFT JOIN an back ON back.x = an.a AND back.a = an.x GROUP BY an.x HAVING count(*) > 1 AND count(*) = count(back.x)),
+chains AS (SELECT head, x AS id, false AS is_cycle FROM so WHERE head IN (SELECT id FROM hd) UNION ALL SELECT head, x, true FROM ri WHERE fits = 1)
+"""
+
+
+@query("isolated_chains", "WITH " + _CHAINS.strip() + "\nSELECT * FROM chains")
 def _(spark, d):
     g = shop.graph(spark, d)
     return deadcode.isolated_chains(g.nodes, g.edges)
@@ -524,7 +611,12 @@ def _(spark, d):
     return deadcode.mark_since(g.nodes.where("kind = 'function'").select("id", "file_path", "line_start", "line_end"), *_change_set(spark, d)).select("id", "since")
 
 
-@query("unused_since")
+@query("unused_since", "WITH " + _CHAINS.strip() + """,
+ad AS (SELECT 'cust/m' || (s_suppkey % 25) || '.go' AS file_path, s_suppkey * 37 % 4000 AS line FROM supplier),
+ma AS (SELECT n.id FROM g_nodes n WHERE n.id IN (SELECT id FROM fn) AND (n.file_path = 'cust/m3.go' OR EXISTS (SELECT 1 FROM ad WHERE ad.file_path = n.file_path AND ad.line BETWEEN n.line_start AND n.line_end)))
+SELECT 'unused' AS part, id FROM ma WHERE id IN (SELECT id FROM na) AND id NOT IN (SELECT target_id FROM g_edges WHERE kind IN ('calls', 'passes_result'))
+UNION ALL SELECT 'chain', id FROM chains WHERE head IN (SELECT head FROM chains WHERE id IN (SELECT id FROM ma))
+""")
 def _(spark, d):
     g = shop.graph(spark, d)
     dead, chains = deadcode.unused_report(g.nodes, g.edges, *_change_set(spark, d))
@@ -600,8 +692,7 @@ def _candidates(spark, d):
 
 
 _RANK = "CASE type WHEN 'fk' THEN 3 WHEN 'query' THEN 2 WHEN 'write' THEN 1 ELSE 0 END"
-#: The SQL still reads the orders below 900 alone; the queries read all.
-_C = f"WITH c AS ({_CANDIDATES.format(orders='orders').rstrip()} WHERE o_orderkey < 900\n),\n"
+_C = f"WITH c AS ({_CANDIDATES.format(orders='orders')}),\n"
 
 
 @query("relation_merge", _C + f"""m AS (SELECT from_table, from_col, to_table, to_col, min(hops)::BIGINT AS hops, max({_RANK}) AS k FROM c GROUP BY ALL)
@@ -649,13 +740,35 @@ def _(spark, d):
     return _longs(relations.of_rules(shop.graph(spark, d).nodes, _rules(spark)))
 
 
-@query("rule_merge")
+_WHERE_DIRECT = """
+cw AS (SELECT DISTINCT split_part(name, '.', 1) AS t, split_part(name, '.', 2) AS c, access_kind FROM g_nodes WHERE kind = 'field_access' AND is_external = 'true' AND type_string = 'sql'),
+fw AS (SELECT DISTINCT t, c FROM cw WHERE access_kind = 'filter' AND c <> 'id' AND c <> t AND c <> t || '_id'),
+bw AS (SELECT t, c, CASE WHEN c LIKE '%\\_id' ESCAPE '\\' THEN left(c, length(c) - 3) ELSE c END AS base FROM fw),
+wd AS (SELECT DISTINCT from_table, from_col, to_table, to_col, 0 AS hops, 'fk' AS type FROM (
+  SELECT bw.t AS from_table, bw.c AS from_col, min(o.t) AS to_table, 'id' AS to_col FROM bw JOIN cw o ON o.c = 'id' AND o.t <> bw.t AND o.t LIKE '%' || bw.base GROUP BY 1, 2
+  UNION ALL SELECT fw.t, fw.c, o.t, min(o.c) FROM fw JOIN cw o ON o.t <> fw.t AND replace(lower(o.c), '_', '') = replace(lower(fw.c), '_', '') WHERE fw.c LIKE '%id' GROUP BY 1, 2, 3))
+"""
+
+
+@query("rule_merge", "WITH " + _WHERE_DIRECT.strip() + """,
+cr AS (SELECT DISTINCT split_part(name, '.', 1) AS t, split_part(name, '.', 2) AS c FROM g_nodes WHERE kind = 'field_access' AND is_external = 'true'),
+r(ft, fc, tt, tc) AS (VALUES ('', 'title', 't1', 'id'), ('t2', 'id', 't3', 'title'), ('t0', 'none', 't1', 'id'), ('t4', 'title', 't9', 'id')),
+al AS (SELECT *, false AS is_rule FROM wd UNION ALL SELECT DISTINCT s.t, fc, tt, tc, 1, 'fk', true FROM r JOIN cr s ON s.c = fc AND (ft = '' OR ft = s.t) JOIN cr x ON x.t = tt AND x.c = tc WHERE s.t <> tt)
+SELECT from_table, from_col, to_table, to_col, hops::BIGINT AS hops, type, is_rule FROM (SELECT *, row_number() OVER (PARTITION BY from_table, from_col, to_table, to_col ORDER BY is_rule DESC, hops) AS k FROM al) WHERE k = 1
+""")
 def _(spark, d):
     g = shop.graph(spark, d)
     return _longs(relations.with_rules(relations.where_direct(g.nodes), relations.of_rules(g.nodes, _rules(spark))))
 
 
-@query("table_path")
+@query("table_path", _C.replace("WITH", "WITH RECURSIVE", 1) + f"""
+bo AS (SELECT from_table AS a, from_col AS ac, to_table AS b, to_col AS bc, type, hops FROM c UNION ALL SELECT to_table, to_col, from_table, from_col, type, hops FROM c),
+be AS (SELECT a, ac, b, bc, type FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY {_RANK} DESC, hops, ac, bc) AS k FROM bo) WHERE k = 1 AND a <> b),
+pa(spot, visited) AS (SELECT 'a0', ['a0'] UNION ALL SELECT be.b, list_append(visited, be.b) FROM pa JOIN be ON be.a = pa.spot WHERE NOT list_contains(visited, be.b) AND len(visited) < 7),
+sh AS (SELECT visited, row_number() OVER (ORDER BY visited) AS path_no FROM (SELECT *, min(len(visited)) OVER () AS m FROM pa WHERE spot = 'a4') WHERE len(visited) = m),
+st AS (SELECT path_no, visited, unnest(range(1, len(visited))) AS i FROM sh)
+SELECT path_no, (i - 1)::BIGINT AS step, be.a AS from_table, be.ac AS from_col, be.b AS to_table, be.bc AS to_col, be.type FROM st JOIN be ON be.a = visited[i] AND be.b = visited[i + 1]
+""", bare=True)
 def _(spark, d):
     return _longs(relations.table_path(_candidates(spark, d), "a0", "a4"))
 
@@ -667,18 +780,26 @@ def _modules(spark):
     return spark.createDataFrame([("shop", "all"), ("shop/cust", "customers"), ("shop/supp", "suppliers")], "prefix string, name string")
 
 
-@query("module_calls", """
-WITH i AS (SELECT source_id, min(target_id) AS impl FROM g_edges WHERE kind = 'grpc_impl' GROUP BY 1),
-c AS (SELECT e.source_id, e.target_id, e.kind, e.method, e.path, CASE WHEN e.kind = 'grpc_call' THEN i.impl ELSE h.handler_id END AS implementer FROM g_edges e LEFT JOIN i ON i.source_id = e.target_id LEFT JOIN g_nodes h ON h.id = e.target_id AND h.kind = 'http_route' WHERE e.kind IN ('grpc_call', 'http_call'))
-SELECT *, 'customers' AS from_module, CASE WHEN implementer LIKE '%shop/supp%' THEN 'suppliers' WHEN implementer LIKE '%shop/cust%' THEN 'customers' ELSE '' END AS to_module FROM c
-""")
+_MODULE_SQL = """
+WITH im AS (SELECT source_id, min(target_id) AS impl FROM g_edges WHERE kind = 'grpc_impl' GROUP BY 1),
+nm AS (SELECT n.name, min(i.target_id) AS impl FROM g_edges i JOIN g_nodes n ON n.id = i.source_id WHERE i.kind = 'grpc_impl' GROUP BY 1),
+cl AS (SELECT e.source_id, e.target_id, e.kind, e.method, e.path, CASE WHEN e.kind = 'grpc_call' THEN coalesce(im.impl, nm.impl) ELSE CASE WHEN h.kind = 'http_route' THEN h.handler_id END END AS implementer
+  FROM g_edges e LEFT JOIN im ON im.source_id = e.target_id LEFT JOIN g_nodes h ON h.id = e.target_id LEFT JOIN nm ON nm.name = h.name WHERE e.kind IN ('grpc_call', 'http_call')),
+mo(prefix, name) AS (VALUES ('shop', 'all'), ('shop/cust', 'customers'), ('shop/supp', 'suppliers')),
+pk AS (SELECT p, coalesce((SELECT name FROM mo WHERE p = prefix OR starts_with(p, prefix || '/') ORDER BY length(prefix) DESC LIMIT 1), '') AS module FROM (SELECT DISTINCT regexp_extract(x, '^symbol:go:(.*):[^:]*$', 1) AS p FROM (SELECT source_id AS x FROM cl UNION SELECT implementer FROM cl) WHERE x IS NOT NULL)),
+mc AS (SELECT cl.*, a.module AS from_module, coalesce(b.module, '') AS to_module FROM cl JOIN pk a ON a.p = regexp_extract(source_id, '^symbol:go:(.*):[^:]*$', 1) LEFT JOIN pk b ON b.p = regexp_extract(implementer, '^symbol:go:(.*):[^:]*$', 1))
+"""
+
+
+@query("module_calls", _MODULE_SQL + "SELECT * FROM mc")
 def _(spark, d):
     g = shop.graph(spark, d)
     return modules.module_calls(g.nodes, g.edges, _modules(spark)).select("source_id", "target_id", "kind", "method", "path", "implementer", "from_module", "to_module")
 
 
-@query("module_edges", """
-SELECT 'customers' AS from_module, 'suppliers' AS to_module, string_agg(DISTINCT 'grpc ' || method, ', ' ORDER BY 'grpc ' || method) AS labels FROM g_edges WHERE kind = 'grpc_call' AND target_id IN (SELECT source_id FROM g_edges WHERE kind = 'grpc_impl') HAVING count(*) > 0
+@query("module_edges", _MODULE_SQL + """
+SELECT from_module, to_module, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM (SELECT *, CASE WHEN kind = 'grpc_call' THEN 'grpc ' || coalesce(method, '') ELSE 'http ' || coalesce(path, '') END AS label FROM mc)
+WHERE from_module <> '' AND to_module <> '' AND from_module <> to_module GROUP BY 1, 2
 """)
 def _(spark, d):
     g = shop.graph(spark, d)
@@ -693,7 +814,11 @@ def _(spark, d):
     return p.select("url", naming.url_host(F.col("url")).alias("host"), naming.url_path(F.col("url")).alias("path")).distinct()
 
 
-@query("route_match")
+@query("route_match", """
+WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^(?:.*?://)?([^/?]*)', 1) AS host, CASE WHEN regexp_extract(url, '^(?:.*?://)?[^/?]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^(?:.*?://)?[^/?]*([^?#]*)', 1) END AS path FROM pages),
+r(route, pattern) AS (VALUES ('/', '/.*'), ('/p/{id}', '/p/[^/]*'), ('/{a}/{b}', '/[^/]*/[^/]*'), ('/{a}', '/[^/]*'))
+SELECT url, host, path, route FROM u JOIN r ON regexp_full_match(path, pattern)
+""", bare=True)
 def _(spark, d):
     urls = spark.read.parquet(f"{d}/pages.parquet").select("url")
     routes = spark.createDataFrame([("/",), ("/p/{id}",), ("/{a}/{b}",), ("/{a}",)], "route string")
@@ -701,8 +826,8 @@ def _(spark, d):
 
 
 @query("indirect_writes", """
-WITH s AS (SELECT DISTINCT 'f' || o_custkey AS caller, 'f' || (o_orderkey * 7919 % 300) AS callee, o_orderkey % 9 AS line, 'T' || (o_orderkey % 3) AS owner FROM orders WHERE o_orderkey % 10 < 3),
-w AS (SELECT DISTINCT 'f' || c_custkey AS f, 'T' || (c_custkey % 3) || '.F' AS p FROM customer WHERE c_custkey % 50 = 0),
+WITH s AS (SELECT DISTINCT 'f' || o_custkey AS caller, 'f' || (o_orderkey * 7919 % (SELECT count(*) FROM customer)) AS callee, o_orderkey % 9 AS line, 'T' || (o_orderkey % 3) AS owner FROM orders),
+w AS (SELECT DISTINCT 'f' || c_custkey AS f, 'T' || (c_custkey % 3) || '.F' AS p FROM customer),
 r(f, p) AS (SELECT f, p FROM w UNION SELECT s.caller, r.p FROM r JOIN s ON s.callee = r.f AND s.owner || '.F' = r.p)
 SELECT DISTINCT s.caller AS function_id, r.p AS field_path, s.line::BIGINT AS call_line, s.callee AS callee_id FROM r JOIN s ON s.callee = r.f AND s.owner || '.F' = r.p
 """)
@@ -716,13 +841,13 @@ def _(spark, d):
 
 @query("may_alias", """
 WITH e AS (SELECT source_id AS a, target_id AS b FROM g_edges WHERE kind IN ('data_flows_to', 'argument', 'returns')),
-r(value, allocation, d) AS (SELECT id, id, 0 FROM g_nodes WHERE kind = 'ssa_value' AND line_start % 40 = 3 UNION SELECT e.b, r.allocation, d + 1 FROM r JOIN e ON e.a = r.value WHERE d < 6)
+r(value, allocation, d) AS (SELECT id, id, 0 FROM g_nodes WHERE kind = 'ssa_value' UNION SELECT e.b, r.allocation, d + 1 FROM r JOIN e ON e.a = r.value WHERE d < 20)
 SELECT DISTINCT value, allocation FROM r
 """)
 def _(spark, d):
     g = shop.graph(spark, d)
-    start = g.nodes.where("kind = 'ssa_value' and line_start % 40 = 3").select(F.col("id").alias("value"), F.col("id").alias("allocation"))
-    return closure.may_alias(start, g.edges.where(F.col("kind").isin("data_flows_to", "argument", "returns")).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")), 6)
+    start = g.nodes.where("kind = 'ssa_value'").select(F.col("id").alias("value"), F.col("id").alias("allocation"))
+    return closure.may_alias(start, g.edges.where(F.col("kind").isin("data_flows_to", "argument", "returns")).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")))
 
 
 # --- scalar functions ----------------------------------------------------------------------------------------------
@@ -740,85 +865,150 @@ def _(spark, d):
     return shop.graph(spark, d).nodes.select("id", ids.short_name(i).alias("short_name"), ids.package_of(i).alias("package"), ids.struct_of_method(i).alias("struct_id"), ids.function_of(i).alias("func_part"), ids.is_ssa_name(name).alias("ssa_name"), ids.is_exported(name).alias("exported"), ids.type_name(F.col("type_string")).alias("type_name"))
 
 
-_PAIRS = [("user_id", "user"), ("userID", "t_users"), ("id", "users"), ("biz_id", "biz"), ("role_id", "rbac_role"), ("create_time", "orders"), ("user", "tb_users"), ("_id", "x"), ("res_id", "rbac_role"), ("BuyerId", "buyer")]
+#: Columns of the graph, each beside tables of several spellings.
+_PAIRS = "SELECT DISTINCT split_part(name, '.', 2) AS col, CASE line_start % 4 WHEN 0 THEN 't' || (line_start % 7) WHEN 1 THEN 'tb_t' || (line_start % 7) || 's' WHEN 2 THEN 'T_title' ELSE 'x_t' || (line_start % 5) END AS tbl FROM {nodes} WHERE is_external = 'true'"
 
 
-@query("column_affinity", """
-WITH p(col, tbl) AS (VALUES {values}),
+@query("column_affinity", "WITH p AS (" + _PAIRS.format(nodes="g_nodes") + """),
 b AS (SELECT *, lower(col) AS l, lower(tbl) AS t, CASE WHEN lower(col) LIKE '%\\_id' ESCAPE '\\' AND length(col) > 3 THEN left(lower(col), length(col) - 3) WHEN lower(col) LIKE '%id' AND length(col) > 2 THEN left(lower(col), length(col) - 2) ELSE lower(col) END AS base,
   regexp_replace(regexp_replace(regexp_replace(lower(tbl), '^t_', ''), '^tb_', ''), 's$', '') AS one FROM p)
 SELECT col, tbl, base <> '' AND ends_with(t, base) AS fk, replace(l, '_', '') LIKE '%id' AS is_key, l = 'id' OR l = one OR l = one || '_id' AS pk FROM b
-""".format(values=", ".join(f"('{a}', '{b}')" for a, b in _PAIRS)), bare=True)
+""")
 def _(spark, d):
-    p = spark.createDataFrame(_PAIRS, "col string, tbl string")
-    c, t = F.col("col"), F.col("tbl")
+    p, c, t = spark.sql(_PAIRS, nodes=shop.graph(spark, d).nodes), F.col("col"), F.col("tbl")
     return p.select("col", "tbl", A.foreign_key_of(c, t).alias("fk"), A.is_key(c).alias("is_key"), A.primary_key_of(c, t).alias("pk"))
 
 
-_NAMES = [("UserProfile", "user_profile"), ("SessionID", "session_id"), ("SourceURL", "source_url"), ("APIKey", "api_key"), ("SQLiteKnowledgeGraph", "sq_lite_knowledge_graph"), ("HTTPServer", "http_server"), ("id", "id"), ("", "")]
+#: Names put together from words, and what they have to become.
+_NAMES = """
+SELECT DISTINCT upper(left(a, 1)) || substring(a, 2) || upper(left(b, 1)) || substring(b, 2) || CASE p_partkey % 5 WHEN 1 THEN 'ID' WHEN 2 THEN 'SourceURL' WHEN 3 THEN 'HTTPServer' WHEN 4 THEN 'V2' ELSE '' END AS name,
+  a || '_' || b || CASE p_partkey % 5 WHEN 1 THEN '_id' WHEN 2 THEN '_source_url' WHEN 3 THEN '_http_server' WHEN 4 THEN '_v2' ELSE '' END AS snake
+FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM {part}) w
+"""
 
 
-@query("snake_case", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMES) + ") v(name, snake)", bare=True)
+@query("snake_case", _NAMES.format(part="part"), bare=True)
 def _(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _NAMES], "name string").select("name", naming.snake_case(F.col("name")).alias("snake"))
+    return spark.sql(_NAMES, part=spark.read.parquet(f"{d}/part.parquet")).select("name", naming.snake_case(F.col("name")).alias("snake"))
 
 
-#: Statement, table, columns, filter columns.
-STATEMENTS = [
-    ("INSERT INTO users(name, email) VALUES(?, ?)", "users", "name,email", ""), ("INSERT INTO users VALUES(?, ?)", "users", "", ""), ("INSERT INTO `users`(`name`) VALUES(?)", "users", "name", ""),
-    ("insert into users (name) values (?)", "users", "name", ""), ("UPDATE users SET name=?, email=? WHERE id = ?", "users", "name,email", "id"), ("UPDATE users SET name = ?", "users", "name", ""),
-    ("DELETE FROM users WHERE id = ?", "users", "", "id"), ("SELECT name FROM users WHERE id = ?", "users", "name", "id"), ("SELECT u.name FROM users u JOIN orders o ON u.id = o.uid", "users", "name", ""),
-    ("SELECT * FROM users", "users", "", ""), ("SELECT x FROM table_a WHERE id = ?", "table_a", "x", "id"), ("SELECT * FROM table_b WHERE y = ?", "table_b", "", "y"),
-    ("SELECT * FROM table_b WHERE a.y = ? AND z = ?", "table_b", "", "y,z"), ("SELECT * FROM t WHERE id = ? ORDER BY id", "t", "", "id"), ("not sql at all", "", "", ""), ("", "", "", ""),
-]
+#: Statements with their table, columns and filter columns.
+_STATEMENTS = """
+SELECT no, CASE no % 5 WHEN 0 THEN 'INSERT INTO `' || t || '` (' || c || ', kind) VALUES (?, now())' WHEN 1 THEN 'update ' || t || ' set ' || c || ' = ?, seen = 1 where ' || k || ' = ?' WHEN 2 THEN 'SELECT x.' || c || ', max(seen) FROM ' || t || ' x WHERE x.' || k || ' = $1 AND size > 3 GROUP BY 1'
+    WHEN 3 THEN 'DELETE FROM ' || t || ' WHERE ' || k || ' = ? AND ' || c || ' = ? LIMIT 1' ELSE 'VACUUM ' || t END AS sql,
+  CASE WHEN no % 5 < 4 THEN t ELSE '' END AS tbl, CASE no % 5 WHEN 0 THEN c || ',kind' WHEN 1 THEN c || ',seen' WHEN 2 THEN c ELSE '' END AS cols, CASE no % 5 WHEN 1 THEN k WHEN 2 THEN k WHEN 3 THEN k || ',' || c ELSE '' END AS where_cols
+FROM (SELECT p_partkey AS no, 'tab_' || (p_partkey % 40) AS t, 'c' || (p_size % 20) AS c, 'k' || (p_partkey % 7) || '_id' AS k FROM {part}) p
+"""
 
 
-@query("sql_statements", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in s) + ")" for s in STATEMENTS) + ") v(sql, tbl, cols, where_cols)", bare=True)
+@query("sql_statements", f"SELECT sql, tbl, cols, where_cols FROM ({_STATEMENTS.format(part='part')})", bare=True)
 def _(spark, d):
-    s = spark.createDataFrame([(s[0],) for s in STATEMENTS], "sql string").withColumn("p", parse_sql("sql"))
+    s = spark.sql(_STATEMENTS, part=spark.read.parquet(f"{d}/part.parquet")).select("sql").withColumn("p", parse_sql("sql"))
     return s.select("sql", F.col("p.tbl").alias("tbl"), F.array_join("p.cols", ",").alias("cols"), F.array_join("p.where_cols", ",").alias("where_cols"))
 
 
-_CONDITIONS = [("ad_id=$1 and id = ?", "ad_id,id"), ("b.status IN (?) OR name LIKE ?", "b.status,name"), ("alias = $1 LIMIT 1", "alias"), ("amount", "amount"), ("", "")]
+_CONDITIONS = """
+SELECT CASE no % 4 WHEN 0 THEN a || ' = ? AND ' || b || ' LIKE ?' WHEN 1 THEN 'm.' || a || ' IN (?) or ' || b || '>=$2 ORDER BY z ' WHEN 2 THEN b ELSE a || ' IS NULL' END AS condition, CASE no % 4 WHEN 0 THEN a || ',' || b WHEN 1 THEN 'm.' || a || ',' || b WHEN 2 THEN b ELSE a END AS cols
+FROM (SELECT p_partkey AS no, 'c' || (p_size % 20) AS a, 'k' || (p_partkey % 7) || '_id' AS b FROM {part}) p
+"""
 
 
-@query("condition_columns", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CONDITIONS) + ") v(condition, cols)", bare=True)
+@query("condition_columns", _CONDITIONS.format(part="part"), bare=True)
 def _(spark, d):
-    c = spark.createDataFrame([(a,) for a, _ in _CONDITIONS], "condition string")
+    c = spark.sql(_CONDITIONS, part=spark.read.parquet(f"{d}/part.parquet"))
     return c.select("condition", F.array_join(condition_columns_udf("condition"), ",").alias("cols"))
 
 
-@query("sql_columns")
+@query("sql_columns", f"""
+WITH s AS (SELECT * FROM ({_STATEMENTS.format(part='part')}) WHERE tbl <> ''),
+w AS (SELECT no, tbl, no % 5 < 2 AS writes, unnest(string_split(cols, ',')) AS col, unnest(range(1, len(string_split(cols, ',')) + 1)) AS i FROM s WHERE cols <> ''),
+x AS (SELECT no, tbl, col, CASE WHEN writes THEN 'write' ELSE 'read' END AS access, CASE WHEN writes THEN i END AS arg FROM w
+  UNION ALL SELECT no, tbl, col, 'filter', i + CASE WHEN no % 5 = 1 THEN 2 ELSE 0 END FROM (SELECT no, tbl, unnest(string_split(where_cols, ',')) AS col, unnest(range(1, len(string_split(where_cols, ',')) + 1)) AS i FROM s WHERE where_cols <> '')),
+y AS (SELECT 'f' || no || '#ext.sql.' || tbl || '.' || col || '.' || access || '@' || no AS id, access, 'f' || no || '#a' || arg AS source, 'f' || no || '#r' AS result FROM x)
+SELECT id, '' AS target_id FROM y UNION ALL SELECT source, id FROM y WHERE access <> 'read' UNION ALL SELECT id, result FROM y WHERE access = 'read'
+""", bare=True)
 def _(spark, d):
-    facts = spark.createDataFrame([("f", i, s[0], ["a1", "a2", "a3"], "r") for i, s in enumerate(STATEMENTS)], "func_id string, line int, sql string, args array<string>, result string")
+    func = F.concat(F.lit("f"), "no")
+    args = F.array(*(F.concat(func, F.lit(f"#a{i}")) for i in (1, 2, 3)))
+    facts = spark.sql(_STATEMENTS, part=spark.read.parquet(f"{d}/part.parquet")).select(func.alias("func_id"), F.col("no").cast("int").alias("line"), "sql", args.alias("args"), F.concat(func, F.lit("#r")).alias("result"))
     nodes, edges = virtual_columns.from_sql(facts)
     return nodes.select("id", F.lit("").alias("target_id")).unionByName(edges.select(F.col("source_id").alias("id"), "target_id"))
 
 
-_DIFF = "diff --git a/new.go b/new.go\nnew file mode 100644\n--- /dev/null\n+++ b/new.go\n@@ -0,0 +1,2 @@\n+package a\n+var x\ndiff --git a/mod.go b/mod.go\n--- a/mod.go\n+++ b/mod.go\n@@ -10,0 +12,2 @@\n+one\n+two\n@@ -20 +30 @@ func f() {\n-old\n+new\ndiff --git a/gone.go b/gone.go\ndeleted file mode 100644\n--- a/gone.go\n+++ /dev/null\n@@ -1 +0,0 @@\n-x"
+def _as_lines(df: DataFrame, key: str, source: str, *lines: str) -> DataFrame:
+    """A text in git's form: some lines a row, in the order of the key, in files by `source`."""
+    made = df.select(F.expr(source).alias("source"), F.col(key).alias("_key"), F.posexplode(F.filter(F.array(*map(F.expr, lines)), lambda x: x.isNotNull())).alias("_at", "line"))
+    return made.select("source", (F.col("_key") * 100 + F.col("_at")).alias("no"), "line")
+
 
+def _diff(spark, d):
+    """Every supplier is a changed file; some are new, some deleted."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").withColumn("f", F.concat(F.lit("m/s"), "s_suppkey", F.lit(".go"))).withColumn("n", F.col("s_suppkey") % 90 + 2)
+    return _as_lines(s, "s_suppkey", "concat('diff', s_suppkey % 3)", "concat('diff --git a/', f, ' b/', f)", "if(s_suppkey % 5 = 0, 'deleted file mode 100644', if(s_suppkey % 5 = 1, 'new file mode 100644', null))", "if(s_suppkey % 5 = 1, '--- /dev/null', concat('--- a/', f))",
+        "if(s_suppkey % 5 = 0, '+++ /dev/null', concat('+++ b/', f))", "concat('@@ -', n, ',3 +', n, ',3 @@ func g() {')", "' same'", "'-gone'", "'+one'", "'+two'", "concat('@@ -900 +', n + 500, ' @@')", "'+more'")
 
-@query("git_diff", "SELECT * FROM (VALUES ('new.go', 1::BIGINT), ('new.go', 2), ('mod.go', 12), ('mod.go', 13), ('mod.go', 30)) v(file_path, line)", bare=True)
+
+@query("git_diff", """
+WITH f AS (SELECT 'm/s' || s_suppkey || '.go' AS file_path, s_suppkey % 90 + 2 AS n FROM supplier WHERE s_suppkey % 5 <> 0)
+SELECT file_path, unnest([n + 1, n + 2, n + 500])::BIGINT AS line FROM f
+""", bare=True)
+def _(spark, d):
+    return _longs(gittext.parse_diff(_diff(spark, d))[1])
+
+
+@query("git_new_files", "SELECT 'm/s' || s_suppkey || '.go' AS file_path FROM supplier WHERE s_suppkey % 5 = 1", bare=True)
 def _(spark, d):
-    return _longs(gittext.parse_diff(gittext.lines(spark, _DIFF))[1])
+    return gittext.parse_diff(_diff(spark, d))[0]
 
 
-_LOG = "a1b2c3d\t2024-01-02\tfirst\n\na.go\nb/{x => y}/c.go\nd4e5f6a\t2024-01-01\tinit\n\na.go"
+def _log(spark, d):
+    """Every supplier is a commit of two files, one of them renamed."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    return gittext.parse_log(_as_lines(s, "s_suppkey", "concat('log', s_suppkey % 3)", "concat(md5(concat('c', s_suppkey)), '\t2024-01-02\t', s_name)", "''", "concat('m/a', s_suppkey % 7, '.go')", "concat('m/{x', s_suppkey, ' => y', s_suppkey % 11, '}/b.go')"))
+
 
+_LOG = """
+WITH c AS (SELECT md5('c' || s_suppkey) AS sha, s_name AS subject, s_suppkey AS k FROM supplier),
+l AS (SELECT sha, subject, 'm/a' || (k % 7) || '.go' AS file_path FROM c UNION ALL SELECT sha, subject, 'm/y' || (k % 11) || '/b.go' FROM c)
+"""
 
-@query("git_log", "SELECT * FROM (VALUES ('a1b2c3d', 'first', 'a.go'), ('a1b2c3d', 'first', 'b/y/c.go'), ('d4e5f6a', 'init', 'a.go')) v(sha, subject, file_path)", bare=True)
+
+@query("git_log", _LOG + "SELECT sha, subject, file_path FROM l", bare=True)
 def _(spark, d):
-    return gittext.parse_log(gittext.lines(spark, _LOG)).select("sha", "subject", "file_path")
+    return _log(spark, d).select("sha", "subject", "file_path")
 
 
-# --- bundles and further facts -------------------------------------------------------------------------------------
+@query("git_graph", _LOG + "SELECT 'commit:' || sha AS id, '' AS target_id FROM c UNION ALL SELECT DISTINCT 'file:' || file_path, 'commit:' || sha FROM l", bare=True)
+def _(spark, d):
+    nodes, edges = gittext.log_graph(_log(spark, d))
+    return nodes.select("id", F.lit("").alias("target_id")).unionByName(edges.select(F.col("source_id").alias("id"), "target_id"))
 
 
-@query("context_bundle")
+@query("changed_files", "SELECT DISTINCT file_path AS path FROM g_nodes WHERE file_path LIKE '%.go'")
 def _(spark, d):
+    nodes = shop.graph(spark, d).nodes
+    tracked = nodes.where("kind <> 'method'").select(F.col("file_path").alias("path"))
+    untracked = nodes.where("kind = 'method'").select(F.col("file_path").alias("path")).unionByName(nodes.select(F.concat("id", F.lit(".md")).alias("path")))
+    return gittext.changed_go_files(tracked, untracked)
+
+
+# --- bundles and further facts -------------------------------------------------------------------------------------
+
+
+def _bundle_sql(anchor: str) -> str:
+    """Parts and ids of the context bundle of a function."""
+    first = f"WITH o AS (SELECT * FROM g_nodes WHERE id = coalesce((SELECT min(id) FROM g_nodes WHERE func_id = '{anchor}' AND kind IN ('parameter', 'receiver', 'result', 'field_access')), '{anchor}')),"
+    traced = _TRAMPOLINE.strip() + "," + _ANCHORS.format(pick="id = (SELECT id FROM o)").removeprefix("WITH") + _VT.format(conf=0.0, cont="").rstrip() + "," + _CHAIN
+    return first + traced + f"""
+SELECT 'symbol' AS part, id FROM g_nodes WHERE id = '{anchor}' UNION ALL SELECT 'callers', source_id FROM g_edges WHERE kind = 'calls' AND confidence >= 0.8 AND target_id = '{anchor}'
+UNION ALL SELECT 'callees', target_id FROM g_edges WHERE kind = 'calls' AND confidence >= 0.8 AND source_id = '{anchor}' UNION ALL SELECT 'fields', field_path FROM g_summary WHERE function_id = '{anchor}'
+UNION ALL (SELECT 'dispatch', target_id FROM g_edges WHERE kind = 'dispatch_to' AND target_id = '{anchor}' LIMIT 1) UNION ALL SELECT 'chain', name FROM main UNION ALL SELECT 'trace', id FROM vt WHERE depth <= 4
+"""
+
+
+def _bundle(spark, d, anchor):
     g = shop.graph(spark, d)
-    parts = bundle.context(g.nodes, g.edges, g.summary, g.origins, USER)
-    parts["callees"] = callgraph.callees(g.edges, _ids(spark, CUSTOMER))
+    parts = bundle.context(g.nodes, g.edges, g.summary, g.origins, anchor, steps=g.steps)
     key = {"callers": "source_id", "callees": "target_id", "fields": "field_path", "dispatch": "target_id", "chain": "name"}
     out = [df.select(F.lit(name).alias("part"), F.col(key.get(name, "id")).alias("id")) for name, df in parts.items()]
     for df in out[1:]:
@@ -826,11 +1016,28 @@ def _(spark, d):
     return out[0]
 
 
-@query("er_bundle")
+@query("context_bundle", _bundle_sql(CUSTOMER))
+def _(spark, d):
+    return _bundle(spark, d, CUSTOMER)
+
+
+@query("context_bundle_values", _bundle_sql(USER))
+def _(spark, d):
+    return _bundle(spark, d, USER)
+
+
+@query("er_bundle", "WITH " + _WHERE_DIRECT.strip() + """,
+co AS (SELECT split_part(name, '.', 1) AS t, split_part(name, '.', 2) AS c, access_kind AS access, row_number() OVER (PARTITION BY name ORDER BY id) AS k FROM g_nodes WHERE kind = 'field_access' AND is_external = 'true')
+SELECT 'table' AS part, t AS name, string_agg(DISTINCT c, ',' ORDER BY c) AS value FROM co GROUP BY t UNION ALL SELECT 'column', t || '.' || c, access FROM co WHERE k = 1
+UNION ALL SELECT 'relation', from_table || '.' || from_col || '>' || to_table || '.' || to_col, type FROM wd WHERE from_table <> to_table
+""")
 def _(spark, d):
     g = shop.graph(spark, d)
     parts = bundle.er(g.nodes, g.edges, relations.where_direct(g.nodes))
-    return parts["relations"].select("from_table", "from_col", "to_table", "to_col", "type")
+    end = lambda s: F.concat_ws(".", f"{s}_table", f"{s}_col")
+    tables = parts["tables"].select(F.lit("table").alias("part"), F.col("table_name").alias("name"), F.array_join("columns", ",").alias("value"))
+    columns = parts["columns"].select(F.lit("column").alias("part"), F.concat_ws(".", "table_name", "column_name").alias("name"), F.col("access").alias("value"))
+    return tables.unionByName(columns).unionByName(parts["relations"].select(F.lit("relation").alias("part"), F.concat_ws(">", end("from"), end("to")).alias("name"), F.col("type").alias("value")))
 
 
 @query("stale_build", "SELECT build_id, status, build_id <> 'b2' AS stale FROM g_builds ORDER BY timestamp DESC, build_id DESC LIMIT 1")
@@ -838,49 +1045,57 @@ def _(spark, d):
     return bundle.stale(shop.graph(spark, d).builds.withColumn("commit_sha", F.col("build_id")), "b2").select("build_id", "status", "stale")
 
 
-_ORM = [("Order", "ID", 'gorm:"primaryKey"', "orders", "id"), ("Order", "BuyerID", 'gorm:"column:buyer"', "orders", "buyer"), ("PayBook", "SourceURL", "", "pay_books", "source_url")]
+#: Fields of entities with their tags, and their tables and columns.
+_ORM = """
+SELECT DISTINCT upper(left(a, 1)) || substring(a, 2) || 'Book' AS entity, CASE k WHEN 0 THEN 'BuyerID' WHEN 1 THEN 'Fee' ELSE 'SourceURL' END || CAST(p_size % 9 AS {text}) AS field, CASE k WHEN 0 THEN 'gorm:"column:buyer' || CAST(p_size % 9 AS {text}) || '"' WHEN 1 THEN '' ELSE 'gorm:"primaryKey"' END AS tag,
+  a || '_books' AS tbl, CASE k WHEN 0 THEN 'buyer' WHEN 1 THEN 'fee' ELSE 'source_url' END || CAST(p_size % 9 AS {text}) AS col
+FROM (SELECT split_part(p_name, ' ', 1) AS a, p_partkey % 3 AS k, p_size FROM {part}) p
+"""
 
 
-@query("orm_columns", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{f}', '{t}', '{c}')" for e, f, _, t, c in _ORM) + ") v(entity, field, tbl, col)", bare=True)
+@query("orm_columns", f"SELECT entity, field, tbl, col FROM ({_ORM.format(part='part', text='VARCHAR')})", bare=True)
 def _(spark, d):
-    fields = spark.createDataFrame([(e, f, tag) for e, f, tag, _, _ in _ORM], "entity string, field string, tag string")
+    fields = spark.sql(_ORM.replace("{text}", "STRING"), part=spark.read.parquet(f"{d}/part.parquet")).select("entity", "field", "tag")
     return virtual_columns.orm_mapping(fields, spark.createDataFrame([], "entity string, tbl string"))
 
 
-_DOTTED = [("m.T.Fee", "Fee", "m"), ("a.b.T.X", "X", "a.b"), ("T.X", "X", "T.X"), ("X", "X", "X")]
-
-
-@query("dotted_paths", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _DOTTED) + ") v(path, last, package)", bare=True)
+@query("dotted_paths", r"""
+WITH p AS (SELECT full_path AS path FROM g_nodes UNION SELECT instance_path FROM g_nodes UNION SELECT name FROM g_nodes)
+SELECT path, regexp_extract(path, '([^.]*)$', 1) AS last, CASE WHEN length(path) - length(replace(path, '.', '')) < 2 THEN path ELSE regexp_replace(path, '\.[^.]*\.[^.]*$', '') END AS package FROM p WHERE path IS NOT NULL
+""")
 def _(spark, d):
-    p = spark.createDataFrame([(a,) for a, _, _ in _DOTTED], "path string")
+    n = shop.graph(spark, d).nodes
+    p = n.select(F.explode(F.array("full_path", "instance_path", "name")).alias("path")).where("path is not null").distinct()
     return p.select("path", ids.last_segment(F.col("path")).alias("last"), ids.dotted_package(F.col("path")).alias("package"))
 
 
-_GRPC = [("NewOrderClient", "Order", ""), ("RegisterPayServer", "", "Pay"), ("Newclient", "", "")]
+_GRPC = """
+SELECT DISTINCT CASE k WHEN 0 THEN 'New' || a || 'Client' WHEN 1 THEN 'Register' || a || 'Server' WHEN 2 THEN 'New' || lower(a) ELSE a || 'Client' END AS name, CASE k WHEN 0 THEN a ELSE '' END AS client, CASE k WHEN 1 THEN a ELSE '' END AS server, CASE k WHEN 0 THEN 'New' || a WHEN 3 THEN a ELSE '' END AS typed
+FROM (SELECT upper(left(p_name, 1)) || substring(split_part(p_name, ' ', 1), 2) AS a, p_partkey % 4 AS k FROM {part}) p
+"""
 
 
-@query("grpc_names", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _GRPC) + ") v(name, client, server)", bare=True)
+@query("grpc_names", _GRPC.format(part="part"), bare=True)
 def _(spark, d):
     n = F.col("name")
-    return spark.createDataFrame([(a,) for a, _, _ in _GRPC], "name string").select("name", naming.grpc_client_service(n).alias("client"), naming.grpc_register_service(n).alias("server"))
-
+    return spark.sql(_GRPC, part=spark.read.parquet(f"{d}/part.parquet")).select("name", naming.grpc_client_service(n).alias("client"), naming.grpc_register_service(n).alias("server"), naming.grpc_client_type_service(n).alias("typed"))
 
-_PATHS = [("a/{b => c}/d.go", "a/c/d.go"), ("{a => }/x.go", "/x.go"), ("old.go => new.go", "new.go"), ('"q.go"', "q.go")]
 
-
-@query("git_paths", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PATHS) + ") v(path, now)", bare=True)
-def _(spark, d):
-    return spark.createDataFrame([(a,) for a, _ in _PATHS], "path string").select("path", naming.git_path(F.col("path")).alias("now"))
+_PATHS = """
+SELECT CASE k % 4 WHEN 0 THEN 'a/{{b' || k || ' => c' || k || '}}/d.go' WHEN 1 THEN 'a/{{x => }}/y' || k || '.go' WHEN 2 THEN 'old.go => new' || k || '.go' ELSE '"q' || k || '.go"' END AS path,
+  CASE k % 4 WHEN 0 THEN 'a/c' || k || '/d.go' WHEN 1 THEN 'a/y' || k || '.go' WHEN 2 THEN 'new' || k || '.go' ELSE 'q' || k || '.go' END AS now
+FROM (SELECT s_suppkey AS k FROM {supplier}) s
+"""
 
 
-@query("git_graph")
+@query("git_paths", _PATHS.format(supplier="supplier"), bare=True)
 def _(spark, d):
-    nodes, edges = gittext.log_graph(gittext.parse_log(gittext.lines(spark, _LOG)))
-    return nodes.select("id", F.lit("").alias("target_id")).unionByName(edges.select(F.col("source_id").alias("id"), "target_id"))
+    return spark.sql(_PATHS, supplier=spark.read.parquet(f"{d}/supplier.parquet")).select("path", naming.git_path(F.col("path")).alias("now"))
 
 
-@query("rule_upkeep", "SELECT * FROM (VALUES (2::BIGINT, 'x', 'b_id', 'u', 'id')) v(id, from_table, from_col, to_table, to_col)", bare=True)
+@query("rule_upkeep", "SELECT n AS id, CASE WHEN n % 2 = 0 THEN 'x' ELSE '' END AS from_table, lower(r_name) || '_id' AS from_col, 'u' AS to_table, 'id' AS to_col FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS n FROM region) WHERE n <> 2", bare=True)
 def _(spark, d):
-    none = _rules(spark).limit(0)
-    both = ingest.add_rule(ingest.add_rule(none, "a_id", "t"), "b_id", "u", from_table="x")
-    return ingest.remove_rule(both, 1).select("id", "from_table", "from_col", "to_table", "to_col")
+    rules = _rules(spark).limit(0)
+    for i, (name,) in enumerate(spark.read.parquet(f"{d}/region.parquet").orderBy("r_regionkey").select("r_name").collect(), 1):  # five regions
+        rules = ingest.add_rule(rules, f"{name.lower()}_id", "u", from_table="" if i % 2 else "x")
+    return ingest.remove_rule(rules, 2).select("id", "from_table", "from_col", "to_table", "to_col")

@@ -11,13 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import trace
 from ..storage import keep
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "events")
 
 EVENTS = """
 SELECT event_id, user_id, event_type, 'symbol:go:shop/user:u' || user_id AS func_id,
-  CASE WHEN event_id % 10 = 0 THEN 't' || (user_id % 6) || '.' || CASE event_id % 4 WHEN 0 THEN 'id' WHEN 2 THEN 't' || (event_id % 5) || '_id' ELSE 'title' END
+  CASE WHEN event_id % 10 = 0 THEN 't' || (user_id % 6) || '.' || CASE event_id % 40 WHEN 0 THEN 'id' WHEN 10 THEN 't' || (event_id % 7) || '_id' WHEN 20 THEN 'title' ELSE 't' || (user_id % 5) || '_id' END
        WHEN event_type IN ('purchase', 'signup') THEN 'T' || (event_id % 3) || '.F' || (event_id % 2) ELSE 't' || event_id END AS name,
   CASE WHEN event_id % 10 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'filter' END
        WHEN event_type = 'signup' OR (event_type = 'purchase' AND event_id % 2 = 0) THEN 'read' WHEN event_type = 'purchase' THEN 'write' END AS access_kind,
@@ -55,13 +56,13 @@ SELECT 'symbol:http:shop:route./r/' || r_regionkey, 'http_route', '/r/' || r_reg
 """
 
 EDGES = """
-SELECT 'symbol:go:shop/cust:f' || o_custkey AS source_id, 'symbol:go:shop/cust:f' || (o_orderkey * 7919 % n.c) AS target_id, 'calls' AS kind, max(0.5e0 + (o_orderkey % 6) / 10e0) AS confidence, CAST(min(o_orderkey % 300) AS INT) AS line_num,
+SELECT 'symbol:go:shop/cust:f' || o_custkey AS source_id, 'symbol:go:shop/cust:f' || (o_orderkey * 7919 % n.c) AS target_id, CASE o_orderstatus WHEN 'P' THEN 'calls' WHEN 'F' THEN 'references' ELSE 'depends_on' END AS kind, max(0.5e0 + (o_orderkey % 6) / 10e0) AS confidence, CAST(min(o_orderkey % 300) AS INT) AS line_num,
   CAST(NULL AS {text}) AS method, CAST(NULL AS {text}) AS path, CAST(NULL AS {text}) AS interface, CAST(NULL AS {text}) AS candidate_origin, CAST(NULL AS DOUBLE) AS cand_confidence, CAST(NULL AS {text}) AS origin
-FROM {orders}, (SELECT count(*) AS c FROM {customer}) n WHERE o_orderstatus = 'P' GROUP BY 1, 2
+FROM {orders}, (SELECT count(*) AS c FROM {customer}) n GROUP BY 1, 2, 3
 UNION ALL
 SELECT 'symbol:go:shop/supp:(S' || s_nationkey || ').m' || s_suppkey, 'symbol:go:shop/cust:f' || (s_suppkey * 13 % n.c), 'calls', 0.8e0, CAST(1 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM {supplier}, (SELECT count(*) AS c FROM {customer}) n
 UNION ALL
-SELECT 'symbol:go:shop/cust:f' || c_custkey, 'symbol:go:shop/supp:(S' || s_nationkey || ').m' || s_suppkey, 'calls', 1e0, CAST(2 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM {customer} JOIN {supplier} ON c_custkey = s_suppkey * 7 + 3
+SELECT 'symbol:go:shop/cust:f' || c_custkey, 'symbol:go:shop/supp:(S' || s_nationkey || ').m' || s_suppkey, 'calls', 1e0, CAST(2 AS INT), NULL, NULL, NULL, NULL, NULL, NULL FROM {customer} JOIN {supplier} ON c_custkey = s_suppkey * 7 + 3 AND s_nationkey % 4 <> 0
 UNION ALL
 SELECT 'symbol:go:shop/supp:S' || s_nationkey, 'symbol:go:shop/supp:(S' || s_nationkey || ').m' || s_suppkey, 'has_method', 1e0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {supplier}
 UNION ALL
@@ -121,6 +122,7 @@ class Graph:
     summary: DataFrame
     origins: DataFrame
     builds: DataFrame
+    steps: DataFrame
 
 
 _made: dict[tuple[str, str], Graph] = {}
@@ -138,5 +140,5 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
             used = {n: df for n, df in {**tables, "user_events": events}.items() if "{" + n + "}" in bare}
             made[k] = keep(spark.sql(bare, **used), f"shop-{k}")
         made["nodes"] = made["nodes"].withColumn("properties", F.map_filter(F.create_map(F.lit("serves_http"), F.col("serves_http"), F.lit("handler_id"), F.col("handler_id")), lambda _, v: v.isNotNull()))
-        _made[key] = Graph(**made)
+        _made[key] = Graph(**made, steps=trace.prepare(made["nodes"], made["edges"]))
     return _made[key]

@@ -15,10 +15,23 @@ def graph_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of a file source with the hidden columns file and block: where they stand. seq orders them by file name, then by their
+    place in the file, however the files were packed into tasks: the rows of one block of one file follow each other in one task.
+    Rows without those columns keep the order they come in."""
+    rows = rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("file", "string"), ("block", "long")) if c not in rows.columns))
+    seq = F.struct(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("block", F.lit(0).cast("long")).alias("block"), F.monotonically_increasing_id().alias("place"))
+    return rows.withColumn("seq", seq).drop("file", "block")
+
+
+def with_place(rows: DataFrame) -> DataFrame:
+    """Rows read from files, or a stream of them, with the columns that `placed` needs."""
+    return rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").cast("long").alias("block"))
+
+
 def items(spark: SparkSession, path: str) -> DataFrame:
     """Extracted items, a JSON object a line, with seq: their order within the files in name order."""
-    rows = spark.read.schema(S.ITEM).json(path)
-    return rows.withColumn("seq", F.monotonically_increasing_id())
+    return placed(with_place(spark.read.schema(S.ITEM).json(path)))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import ingest
+from ..sources.readers import placed, with_place
 
 TABLES = {"nodes": S.NODE, "edges": S.EDGE, "summary": S.SUMMARY, "origins": S.ORIGIN}
 
@@ -37,19 +38,24 @@ def latest(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def merge_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """Merge a batch of items into the version before it. Origins are written last, which completes the version."""
+    """Merge a batch of items (with seq, or with the columns of sources.readers.with_place) into the version before it. Origins are written
+    last, which completes the version; versions older than the one before it are deleted then."""
     spark = batch.sparkSession
     before = [v for v in versions(spark, folder) if v < batch_id]
     old = read(spark, folder, before[-1] if before else None)
-    new = dict(zip(TABLES, ingest.split_items(batch.withColumn("seq", F.monotonically_increasing_id() + 1)), strict=True))
-    both = {name: old[name].withColumn("seq", F.lit(0).cast("long")).unionByName(new[name], allowMissingColumns=True) for name in TABLES}
+    new = dict(zip(TABLES, ingest.split_items(batch if "seq" in batch.columns else placed(batch)), strict=True))
+    before_all = F.struct(F.lit("").alias("file"), F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("place"))
+    both = {name: old[name].withColumn("seq", before_all).unionByName(new[name], allowMissingColumns=True) for name in TABLES}
     merged = {"nodes": ingest.upsert_nodes(both["nodes"]), "edges": ingest.upsert_edges(both["edges"]), "summary": ingest.upsert_summaries(both["summary"]), "origins": ingest.upsert_origins(both["origins"])}
     for name, schema in TABLES.items():  # edges wait in the table for their ends; readers take those that have both
         merged[name].select(*schema.fieldNames()).write.mode("overwrite").parquet(f"{folder}/version={batch_id}/{name}")
+    for old_version in before[:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version={old_version}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ingest_stream(spark: SparkSession, source: str, folder: str, checkpoint: str, once: bool = True):
     """Start merging JSONL items that appear under `source`. once: take what is there and stop."""
-    stream = spark.readStream.schema(S.ITEM).json(source)
+    stream = with_place(spark.readStream.schema(S.ITEM).json(source))
     writer = stream.writeStream.foreachBatch(lambda batch, n: merge_batch(batch, n, folder)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
