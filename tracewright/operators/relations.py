@@ -38,11 +38,9 @@ def _bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return typed.join(reads, "func_id").where(F.col("full_path").contains(F.col("type_name")) & (F.col("src") != F.col("dst"))).select("src", "dst")
 
 
-def _places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, n: numbers in the order of the ids, for all nodes and ends of edges. The search runs on numbers; their order is the ids'."""
-    ends = edges.where(F.col("kind").isin(*S.RELATIONS))
-    every = nodes.select("id").unionByName(ends.select(F.col("source_id").alias("id"))).unionByName(ends.select(F.col("target_id").alias("id")))
-    return numbered(every.where("id is not null").distinct(), ["id"], "n", "rel-places")
+def _places(nodes: DataFrame) -> DataFrame:
+    """id, n: numbers in the order of the ids. The search runs on numbers; edges without both ends have none and are left out."""
+    return numbered(nodes.select("id").where("id is not null").distinct(), ["id"], "n", "rel-places")
 
 
 def _steps(nodes: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
@@ -68,7 +66,7 @@ def search(nodes: DataFrame, edges: DataFrame, tables: DataFrame | None = None,
     """start, start_name, node, depth, crossed, taint (empty for a node reached by a bridge), from all external column nodes (of the
     tables, column table_name). A taint is the start's column or nothing, so a row holds numbers, flags and that column. A start's
     level is put in order in one task; rows grow with the nodes within `depth` of each start."""
-    places = keep(_places(nodes, edges), "rel-places")
+    places = keep(_places(nodes), "rel-places")
     steps = keep(_steps(nodes, edges, places), "rel-steps")
     number = lambda df, end: df.join(places.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end).drop(end).withColumnRenamed(f"{end}_n", end)
     bridges = keep(number(number(_bridges(nodes, edges), "src"), "dst"), "rel-bridges")
