@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ def keep(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], name: str, label: str, keep: Callable[[DataFrame, str], DataFrame] = keep) -> DataFrame:
     """The rows, kept, with a long column `name`: their place from 0 in the order of `keys`.
 
     The rows are range partitioned and sorted within partitions; the driver only sees a row count for each partition.
