@@ -6,16 +6,18 @@ their full sets is at least ``percent`` / 100.
 
 1. One scan of the texts gives each document its set's size, a key of the set, and ``BANDS`` band keys. Signatures are
    circulant: a first permutation places every shingle in [0, SPACE), a second one is a fixed random permutation of
-   SPACE, and coordinate k is the least value of the second over the set shifted by k. So the values of one shingle for all
-   coordinates are consecutive entries of one table. A pair at similarity 0.8 shares a band with probability 1 - 1e-7.
-2. Documents with equal sets are one class. Classes that share a band key form candidate clusters.
-3. Each cluster is verified exactly: all intersections of up to ``BLOCK`` sets by matrix products over the shingles
-   that two of them have. A larger cluster is dealt into blocks of about that size, and each pair of blocks is one unit of
-   work, so no task holds a whole cluster. A unit returns only a spanning star of what it linked.
+   SPACE, and coordinate k is the shingle with the least value of the second, shifted by k. So the values of one shingle for all
+   coordinates are consecutive entries of one table. Shingles of one place are told apart by their whole hash, so sets far larger
+   than SPACE still have signatures of their own. A pair at similarity 0.8 shares a band with probability 1 - 1.4e-7.
+2. Documents with equal sets are one class. Classes are compared only if they share a band key (a bucket), and exactly, by their full sets.
+   First every member of a bucket with the bucket's head: one comparison a member, whatever the size of the bucket.
+3. Where members of a bucket are then not all connected, those outside its largest part are compared with all others of the bucket:
+   blocks of ``BLOCK`` sets by matrix products over the shingles that two of them have. A pair of blocks is one unit of work, so
+   no task holds a bucket; pairs are never rows. Buckets of equal members are compared once.
 4. Components of the links, with the smallest doc_id of each.
 
-Nulls: a null text has an empty set; null doc_ids are never the smallest, and a set that only documents without a doc_id
-have takes no part in links between sets. Repeated rows fall in one class. Other columns are
+Nulls: a null text has an empty set; a document without a doc_id links like any other, but its id is never the smallest: the
+component_id of a group without any id is null. Repeated rows fall in one class. Other columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -34,33 +36,38 @@ from . import components, scratch
 from . import words as W
 
 SHINGLE, PERCENT = 4, 80
-ROWS, BANDS = 5, 40
+ROWS, BANDS = 6, 52
 SPACE_BITS = 20
 BLOCK = 128
+STAR = 512  # members of a bucket's head that one task compares with it
 _table: list[np.ndarray] = []
 
 
-def _coordinates() -> np.ndarray:
-    """Row s: the values of place s for all coordinates, a window of the second permutation."""
+def _coordinates() -> tuple[np.ndarray, np.ndarray]:
+    """Row s: the values of place s for all coordinates, a window of the second permutation; and that permutation's inverse."""
     if not _table:
         k = ROWS * BANDS
         second = np.random.default_rng(20240229).permutation(1 << SPACE_BITS).astype(np.uint32)
-        _table.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: k - 1]]), k))
-    return _table[0]
+        inverse = np.empty(1 << SPACE_BITS, dtype=np.int64)
+        inverse[second] = np.arange(1 << SPACE_BITS)
+        _table.extend([np.lib.stride_tricks.sliding_window_view(np.concatenate([second, second[: k - 1]]), k), inverse])
+    return _table[0], _table[1]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """ROWS * BANDS circulant MinHash coordinates of a set of 64-bit shingle hashes."""
-    table, best = _coordinates(), None
-    places = W.mix(shingles ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - SPACE_BITS)
+    """ROWS * BANDS circulant MinHash coordinates of a sorted set of 64-bit shingle hashes: the shingles that win."""
+    (table, inverse), best = _coordinates(), None
+    shift = np.uint64(64 - SPACE_BITS)
+    places = shingles >> shift
     for i in range(0, len(places), 2048):
         least = table[places[i : i + 2048]].min(axis=0)
         best = least if best is None else np.minimum(best, least)
-    return best
+    won = (inverse[best] - np.arange(len(best))) & ((1 << SPACE_BITS) - 1)
+    return shingles[np.searchsorted(shingles, won.astype(np.uint64) << shift)]
 
 
 def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    rows = coordinates.reshape(BANDS, ROWS).astype(np.uint64)
+    rows = coordinates.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for r in range(ROWS):
         key = W.mix(key ^ rows[:, r]) * np.uint64(0xD1342543DE82EF95)
@@ -105,7 +112,7 @@ def _features(n: int):
 
 
 def _sets(n: int):
-    """Set keys recomputed from texts; a text whose key is not the wanted one (a repeated doc_id) is left out."""
+    """Sets made from texts; a text whose set is not the wanted one is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,13 +124,37 @@ def _sets(n: int):
                     if len(own) and set_key(own) == wanted[d]:
                         rows.append(i + d)
                         shingles.append(own.tobytes())
-                taken = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([taken.column("node"), taken.column("cluster"), taken.column("members"), pa.array(shingles, pa.binary())], ["node", "cluster", "members", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows, pa.int64())), pa.array(shingles, pa.binary())], ["node", "shingles"])
 
     return run
 
 
-def linked_groups(sets: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> list[list[int]]:
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _stars(percent: int):
+    """Rows in the order of head, chunk and whether they are the head's own: each member is compared with its head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, base = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for h, node, raw in zip(*(batch.column(c).to_pylist() for c in ("head", "node", "shingles")), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if node == h:
+                    head, base = h, own
+                elif head == h and _near(base, own, percent):
+                    a.append(h)
+                    b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def linked_groups(sets: list[np.ndarray], percent: int) -> list[list[int]]:
     """Components, of two or more, of the graph of pairs with 100 * |a & b| >= percent * |a | b|.
 
     Intersections are counted for all pairs at once, over shingles that two sets or more have, a bounded number of
@@ -167,7 +198,7 @@ def linked_groups(sets: list[np.ndarray], percent: int, block: np.ndarray | None
 
 def _verify(percent: int):
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "unit", "node", "shingles")), strict=True))
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("band", "unit", "node", "shingles")), strict=True))
         for _, own in groupby(rows, key=lambda r: r[:2]):
             yield list({key: shingles for _, _, key, shingles in own}.items())
 
@@ -188,55 +219,83 @@ def _verify(percent: int):
     return run
 
 
-def _units(block: int):
-    """The pairs of blocks that hold a class: one unit for a cluster of one block; no two classes miss each other."""
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    return blocks, own, other
+def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """stars: head, node. The pairs that are linked, as a, b. A head of many members goes to several tasks."""
+    many = scratch.keep(stars.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("chunks")).where("chunks > 1"), "near-many")
+    chunks = F.coalesce("chunks", F.lit(1))
+    members = stars.join(many, "head", "left").select("head", F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), "node")
+    heads = stars.select("head").distinct().join(many, "head", "left").select("head", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.col("head").alias("node"))
+    dealt = members.unionByName(heads).join(sets, "node").repartition("head", "chunk").sortWithinPartitions("head", "chunk", F.col("node") != F.col("head"))
+    return dealt.select("head", "node", "shingles").mapInArrow(_stars(percent), "a long, b long")
+
+
+def _left_open(members: DataFrame, joined: DataFrame, block: int) -> DataFrame:
+    """Of buckets whose members (band, node) are not all connected: band, unit, node. A member outside the bucket's largest part meets every
+    other one in some unit, a block of the former with a block of all."""
+    labelled = scratch.keep(members.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part")), "near-labelled")
+    parts = labelled.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    buckets = parts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("most.n < n")
+    once = scratch.keep(buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "most")).alias("b")).select("b.band", F.col("b.most.part").alias("most"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("b.most.n")) / block).cast("int").alias("others")), "near-open")
+    rows = labelled.join(once, "band")
+    place = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    unit = lambda i, j: (i.cast("long") * (1 << 31) + j).alias("unit")
+    every = rows.select("band", "node", place(2, F.col("blocks")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("i"))
+    outside = rows.where("part <> most").select("band", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), place(3, F.col("others")).alias("i"))
+    return every.unionByName(outside).select("band", unit(F.col("i"), F.col("j")), "node").distinct()
 
 
 def find_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, row_key (a hash of the text), n_shingles, set_key, component_id: a row for each row of docs."""
-    rows = docs.select("doc_id", "text")
-    keyed = rows.withColumn("row_key", F.xxhash64("text"))
+    """doc_id, row_key (a hash of the text), n_shingles, set_key, component_id, part (one number for each group; null for an empty set):
+    a row for each row of docs."""
+    keyed = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = scratch.keep(keyed.mapInArrow(_features(shingle), f"doc_id {kind}, row_key long, n_shingles long, set_key binary, bands array<long>"), "near-features")
-    classes = scratch.keep(features.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("one")
+    classes = scratch.keep(features.where("set_key is not null").groupBy("set_key").agg(one, F.first("bands").alias("bands")).select("set_key", F.col("one.doc_id").alias("first_id"), F.col("one.row_key").alias("row_key"), "bands", F.monotonically_increasing_id().alias("node")), "near-classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
-    heads = scratch.keep(banded.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "head"), "near-heads")
-    edges = banded.join(heads, "band").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    clusters = components.connected(edges, "near-clusters").withColumnRenamed("component", "cluster")
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), "cluster")
-    wanted = scratch.keep(sized.join(classes.select("node", "set_key", F.col("first_id").alias("doc_id")), "node").where("doc_id is not null"), "near-wanted")
-
-    # Texts meet the wanted ids by a merge join at every size: the ids grow with the documents, so they are never broadcast.
-    with_sets = rows.join(wanted.hint("merge"), "doc_id").mapInArrow(_sets(shingle), "node long, cluster long, members long, shingles binary")
-    _, own, other = _units(block)
-    paired = with_sets.withColumn("own", own).withColumn("other", other).withColumn("unit", F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other"))
-    dealt = paired.select("cluster", "unit", "node", "shingles").repartition("cluster", "unit").sortWithinPartitions("cluster", "unit")
-    links = dealt.mapInArrow(_verify(percent), "a long, b long")
-    joined = components.connected(links, "near-links")
-
-    grouped = classes.select("node", "set_key", "first_id", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"), F.sum("copies").alias("n"))
-    named = scratch.keep(grouped.join(least.where("n > 1"), "component").select("set_key", "component_id"), "near-named")
-    return features.select("doc_id", "row_key", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    heads = scratch.keep(banded.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "near-heads")
+    members = scratch.keep(banded.join(heads, "band").where("node <> head").select("band", "head", "node", "n"), "near-members")
+    stars = scratch.keep(members.select("head", "node").distinct(), "near-stars")
+    wanted = stars.select("node").unionByName(stars.select(F.col("head").alias("node"))).distinct()
+    wanted = scratch.keep(wanted.join(classes.select("node", "set_key", F.col("first_id").alias("w_id"), F.col("row_key").alias("w_key")), "node"), "near-wanted")
+
+    # Texts meet the wanted rows by a merge join at every size: they grow with the documents, so they are never broadcast.
+    texts = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("row_key") == F.col("w_key"))).select("node", "set_key", "text")
+    sets = scratch.keep(texts.mapInArrow(_sets(shingle), "node long, shingles binary"), "near-sets")
+    if sets.count() > wanted.count():  # rows that occur more than once
+        sets = scratch.keep(sets.dropDuplicates(["node"]), "near-sets")
+    links = scratch.keep(_star_links(stars, sets, percent), "near-links")
+    joined = components.connected(links, "near-parts")
+    rest = scratch.keep(_left_open(members.where("n > 2").select("band", "node"), joined, block), "near-rest")
+    if not rest.isEmpty():
+        dealt = rest.join(sets, "node").select("band", "unit", "node", "shingles").repartition("band", "unit").sortWithinPartitions("band", "unit")
+        more = scratch.keep(dealt.mapInArrow(_verify(percent), "a long, b long"), "near-links")
+        if not more.isEmpty():
+            joined = components.connected(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "near-parts")
+
+    grouped = scratch.keep(classes.select("node", "set_key", "first_id").join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")), "near-grouped")
+    least = grouped.groupBy("part").agg(F.min("first_id").alias("component_id"))
+    named = grouped.join(least, "part").select("set_key", "component_id", "part")
+    found = features.select("doc_id", "row_key", "n_shingles", "set_key").join(named, "set_key", "left")
+    return found.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; docs' columns. Of repeated rows of one doc_id and
-    one text, one stays. Documents without words are in no group."""
-    found = scratch.keep(find_groups(docs, shingle, percent).select("doc_id", "row_key", "set_key", "component_id"), "near-found")
-    first = F.col("doc_id") == F.col("component_id")
-    gone = found.where(~first).select("doc_id", "row_key").distinct()
-    again = found.where(first & F.col("set_key").isNotNull()).groupBy("doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "row_key")
+    """docs with one document of each group, that of the smallest doc_id (in a group without ids, of the least hash of the text); docs'
+    columns. Of repeated rows of one doc_id and one text, one stays. Documents without words are in no group."""
+    found = scratch.keep(find_groups(docs, shingle, percent).where("set_key is not null").select("doc_id", "row_key", "component_id", "part"), "near-found")
+    unnamed = found.where("component_id is null").groupBy("part").agg(F.min("row_key").alias("least"))
+    first = found.join(unnamed, "part", "left").withColumn("first", F.when(F.col("component_id").isNull(), F.col("row_key") == F.col("least")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    first = scratch.keep(first.select(F.col("doc_id").alias("f_id"), F.col("row_key").alias("f_key"), "first"), "near-first")
+    gone = first.where(~F.col("first")).select("f_id", "f_key").distinct()
+    again = first.where("first").groupBy("f_id", "f_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f_id", "f_key")
+    same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("row_key") == F.col("f_key"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("row_key"))
-    left = keyed.join(gone, ["doc_id", "row_key"], "left_anti")
+    left = keyed.join(gone, same, "left_anti")
     if not again.isEmpty():
-        repeated = left.join(again, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
-        left = left.join(again, ["doc_id", "row_key"], "left_anti").unionByName(repeated)
+        repeated = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "row_key"])
+        left = left.join(again, same, "left_anti").unionByName(repeated)
     return left.select("row.*")
 
 

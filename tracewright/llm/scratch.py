@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def root(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir; only where that is unset (as in tests), a temporary folder."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        made = context._jsc.sc().getCheckpointDir()
-        if made.isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
-            made = context._jsc.sc().getCheckpointDir()
-        base = made.get()
-    return f"{base.rstrip('/')}/tracewright-{context.applicationId}"
 
+from .. import storage
+from ..storage import shared_folder as root
 
 _scope: list[str] = []
 
@@ -55,17 +42,5 @@ def clear(spark: SparkSession, name: str) -> None:
 
 
 def numbered(df: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:
-    """The rows, kept, with a long column `name`: their place from 0 in the order of `keys`.
-
-    The rows are range partitioned and sorted within partitions; the driver only sees a row count for each partition.
-    """
-    spark = df.sparkSession
-    kept = keep(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), label)
-    part = F.shiftright("_at", 33)
-    base, rows = 0, []
-    for p, n in kept.groupBy(part.alias("p")).count().orderBy("p").collect():
-        rows.append((p, base))
-        base += n
-    starts = F.broadcast(spark.createDataFrame(rows, "_part long, _base long"))  # a row for each partition
-    placed = kept.withColumn("_part", part).join(starts, "_part")
-    return placed.withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_base", "_at")
+    """The rows, kept, with a long column `name`: their place from 0 in the order of `keys`."""
+    return storage.numbered(df, keys, name, label, keep)
