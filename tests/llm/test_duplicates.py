@@ -153,6 +153,27 @@ def test_repeated_words(spark, window):
     assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("heavy", [0, 3])
+def test_repeated_words_of_heavy_minimisers(spark, heavy):
+    docs = repeat_corpus()
+    rows, losing = substring_dedup.find(frame(spark, docs), 13, heavy=heavy)
+    removed = losing.mapInArrow(substring_dedup._digester, "doc_id long, row_key long, n_removed long, sha256 string")
+    found = rows.join(removed, ["doc_id", "row_key"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)), F.coalesce("sha256", "whole_sha256"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[3])
+    want = [(d, n, g, hashlib.sha256(k.encode()).hexdigest()) for d, n, g, k in repeat_expected(docs, 13)]
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("heavy", [0, 512])
+def test_repeated_words_of_string_ids(spark, heavy):
+    docs = [(None if d is None else f"d{d:03}", t) for d, t in repeat_corpus()]
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    _, losing = substring_dedup.find(df, heavy=heavy)
+    removed = losing.mapInArrow(substring_dedup._digester, "doc_id string, row_key long, n_removed long, sha256 string")
+    want = {(d, g) for d, _, g, _ in repeat_expected(docs, 50) if g}
+    assert {(r.doc_id, r.n_removed) for r in removed.collect()} == want
+
+
 def test_removed_texts(spark):
     docs = repeat_corpus()
     found = sorted((r.doc_id or -1, r.text or "") for r in substring_dedup.remove(frame(spark, docs)).collect())

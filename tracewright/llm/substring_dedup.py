@@ -7,13 +7,17 @@ document with a smaller doc_id; windows are judged on the input.
    minimiser are a super-k-mer: (document, first word, number of windows). Windows of equal words have equal minimisers.
 2. A minimiser that only one document has cannot belong to a shared window. For the others, the super-k-mers' words
    travel as one packed string to the minimiser's bucket. Equal strings of one scan slice travel once, with the smallest
-   doc_id that has them, so a passage of very many documents comes once a slice and not once a document.
+   doc_id that has them.
 3. A bucket sorts its windows exactly (ranks of runs of 1, 2, 4, ... 32, 50 words, from exact word ids), and finds the
    smallest doc_id of each. It answers for each string; the answer is joined to the string's occurrences, which never
    meet in one task.
+4. A minimiser of more than ``HEAVY`` strings, as around a passage of very many documents, has no bucket. Its equal strings are merged over
+   the whole table; what differs is mostly what stands around the passage, in windows that only one string has. So each string is
+   cut down to the windows whose hash several documents have, equal remainders are merged again, and their windows are grouped one
+   by one, as words, by a combining aggregate. Every answer leads back along the merges to the strings.
 
-Nulls: a null text has no words; a document without doc_id neither loses words nor takes them from others. Repeated rows
-of one doc_id and text are judged alike. Other columns are ignored. Empty tables give empty results.
+doc_ids may be of any ordered type. Nulls: a null text has no words; a document without doc_id neither loses words nor takes them from
+others. Repeated rows of one doc_id and text are judged alike. Other columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from . import words as W
 
 WINDOW, RUN = 50, 5
 BUCKET_BYTES = 2_000_000
+HEAVY = 512
 
 
 def super_kmers(words: W.Words, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +145,8 @@ def window_ranks(strings: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, n
 
 def _bucket(window: int):
     def answer(rows: pa.Table) -> pa.RecordBatch:
-        least, most = rows.column("least").to_numpy(), rows.column("most").to_numpy()
+        names, codes = np.unique(np.concatenate([rows.column(c).to_numpy() for c in ("least", "most")]), return_inverse=True)
+        least, most = codes[: len(rows)], codes[len(rows) :]
         owner, place, rank = window_ranks(rows.column("packed").combine_chunks(), window)
         first = np.full(int(rank.max()) + 1 if len(rank) else 0, np.iinfo(np.int64).max)
         np.minimum.at(first, rank, least[owner])
@@ -150,7 +156,7 @@ def _bucket(window: int):
         follows = np.concatenate([[False], (owner[1:] == owner[:-1]) & (place[1:] == place[:-1] + 1) & (first[1:] == first[:-1])]) if len(owner) else np.zeros(0, bool)
         begin = np.flatnonzero(~follows)
         count = np.diff(np.append(begin, len(owner)))
-        return pa.RecordBatch.from_arrays([rows.column("rid").combine_chunks().take(pa.array(owner[begin])), pa.array(place[begin].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(first[begin])], ["rid", "offset", "windows", "smallest"])
+        return pa.RecordBatch.from_arrays([rows.column("rid").combine_chunks().take(pa.array(owner[begin])), pa.array(place[begin].astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(names[first[begin]], rows.schema.field("least").type)], ["rid", "offset", "windows", "smallest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -186,6 +192,60 @@ def _parts(rows: pa.Table, answer) -> Iterator[pa.RecordBatch]:
         at = to
 
 
+def _window_hashes(window: int):
+    """Of each string: the hashes of its windows, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("packed").cast(pa.string())
+            for i, j in W.slices(texts):
+                words = W.scan(texts.slice(i, j - i), W.SPACED)
+                at = words.window_starts(window)
+                hashes = W.hash_windows(W.hash_words(words), window, at).view(np.int64)
+                owner = np.searchsorted(words.first, at, side="right") - 1
+                columns = {c: batch.column(c).slice(i, j - i) for c in ("minimiser", "string", "least", "most")}
+                columns["hashes"] = _lists(hashes, owner, words.n_texts, pa.int64())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def _cut_out(window: int, single: bool):
+    """The words of each run of the wanted windows of a string, or of each wanted window, with its place (offset)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                words, wanted = row["packed"].split(b" "), sorted(set(row["wanted"]))
+                begin = [k for k, w in enumerate(wanted) if single or not k or wanted[k - 1] != w - 1]
+                for a, b in zip(begin, [*begin[1:], len(wanted)], strict=True):
+                    rows.append({"minimiser": row["minimiser"], "string": row["string"], "offset": wanted[a], "part": b" ".join(words[wanted[a] : wanted[b - 1] + window]), "least": row["least"], "most": row["most"]})
+            doc = batch.schema.field("least").type
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("minimiser", pa.int64()), ("string", pa.int64()), ("offset", pa.int32()), ("part", pa.binary()), ("least", doc), ("most", doc)]))
+
+    return run
+
+
+def _heavy_answers(strings: DataFrame, kind: str, window: int) -> DataFrame:
+    """What the buckets would answer for the strings (rid, minimiser, packed, least, most) of heavy minimisers."""
+    own, shape = ["minimiser", "string"], f"minimiser long, string long, offset int, part binary, least {kind}, most {kind}"
+    one = (F.min("least").alias("least"), F.max("most").alias("most"))
+    keyed = strings.withColumn("string", F.xxhash64("packed"))
+    merged = scratch.keep(keyed.groupBy(*own, "packed").agg(*one), "sub-merged")
+    windows = scratch.keep(merged.mapInArrow(_window_hashes(window), f"minimiser long, string long, least {kind}, most {kind}, hashes array<long>").select(*own, "least", "most", F.posexplode("hashes").alias("at", "hash")), "sub-windows")
+    shared = windows.groupBy("hash").agg(*one).where("least < most").select("hash")
+    wanted = windows.join(shared, "hash").groupBy(*own).agg(F.collect_set("at").alias("wanted"))
+    runs = scratch.keep(merged.join(wanted, own).mapInArrow(_cut_out(window, False), shape).withColumn("remainder", F.xxhash64("part")), "sub-runs")
+    remainders = runs.groupBy("minimiser", "remainder", "part").agg(*one)
+    every = F.sequence(F.lit(0), F.length(F.regexp_replace(F.col("part").cast("string"), "[^ ]", "")) + 1 - window)
+    singles = scratch.keep(remainders.select("minimiser", F.col("remainder").alias("string"), F.col("part").alias("packed"), "least", "most", every.alias("wanted")).mapInArrow(_cut_out(window, True), shape), "sub-singles")
+    first = singles.groupBy("part").agg(F.min("least").alias("smallest"))
+    judged = scratch.keep(singles.join(first, "part").where("smallest < most").select("minimiser", F.col("string").alias("remainder"), F.col("offset").alias("inner"), "smallest"), "sub-judged")
+    placed = runs.select(*own, "remainder", "offset").join(judged, ["minimiser", "remainder"]).select(*own, (F.col("offset") + F.col("inner")).alias("offset"), "smallest")
+    return keyed.select("rid", *own).join(placed, own).select("rid", "offset", F.lit(1).alias("windows"), "smallest")
+
+
 def _removed(words: W.Words, ranges: list[list[dict]]) -> np.ndarray:
     starts = np.array([words.first[d] + x["from"] for d, own in enumerate(ranges) for x in own], dtype=np.int64)
     lengths = np.array([x["to"] - x["from"] for own in ranges for x in own], dtype=np.int64)
@@ -214,7 +274,7 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("row_key").slice(i, j - i), pa.array(out, pa.string())], ["doc_id", "row_key", "new_text"])
 
 
-def find(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[DataFrame, DataFrame]:
+def find(docs: DataFrame, window: int = WINDOW, run: int = RUN, heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """Of all rows: doc_id, row_key (a hash of the text), n_words, whole_sha256. Of the documents that lose words: doc_id,
     row_key, text, ranges of words to remove as [from, to)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -229,8 +289,13 @@ def find(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> tuple[DataFra
 
     packed = some.mapInArrow(_packer(window), f"minimiser long, packed binary, least {kind}, most {kind}, places array<struct<doc_id: {kind}, row_key: long, first: int>>")
     strings = scratch.keep(packed.withColumn("rid", F.monotonically_increasing_id()), "sub-strings")
-    dealt = strings.select("rid", "minimiser", "packed", "least", "most").repartition("minimiser").sortWithinPartitions("minimiser")
-    answers = scratch.keep(dealt.mapInArrow(_bucket(window), "rid long, offset int, windows int, smallest long"), "sub-answers")
+    bare = strings.select("rid", "minimiser", "packed", "least", "most")
+    crowded = scratch.keep(strings.groupBy("minimiser").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("minimiser"), "sub-crowded")
+    dealt = bare.join(crowded, "minimiser", "left_anti").select("rid", "minimiser", "packed", "least", "most").repartition("minimiser").sortWithinPartitions("minimiser")
+    shape = f"rid long, offset int, windows int, smallest {kind}"
+    answers = scratch.keep(dealt.mapInArrow(_bucket(window), shape), "sub-answers")
+    if not crowded.isEmpty():
+        answers = answers.unionByName(scratch.keep(_heavy_answers(bare.join(crowded, "minimiser", "left_semi"), kind, window), "sub-answers"))
 
     hits = answers.join(strings.select("rid", "places"), "rid").select("offset", "windows", "smallest", F.inline("places")).where(F.col("smallest") < F.col("doc_id"))
     ranges = hits.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct((F.col("first") + F.col("offset")).alias("from"), (F.col("first") + F.col("offset") + F.col("windows") + window - 1).alias("to"))).alias("ranges"))
