@@ -215,14 +215,28 @@ def _cut_out(window: int, single: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                words, wanted = row["packed"].split(b" "), sorted(set(row["wanted"]))
-                begin = [k for k, w in enumerate(wanted) if single or not k or wanted[k - 1] != w - 1]
-                for a, b in zip(begin, [*begin[1:], len(wanted)], strict=True):
-                    rows.append({"minimiser": row["minimiser"], "string": row["string"], "offset": wanted[a], "part": b" ".join(words[wanted[a] : wanted[b - 1] + window]), "least": row["least"], "most": row["most"]})
             doc = batch.schema.field("least").type
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("minimiser", pa.int64()), ("string", pa.int64()), ("offset", pa.int32()), ("part", pa.binary()), ("least", doc), ("most", doc)]))
+            shape = pa.schema([("minimiser", pa.int64()), ("string", pa.int64()), ("offset", pa.int32()), ("part", pa.binary()), ("least", doc), ("most", doc)])
+            owner, offsets, parts, size = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                of = batch.take(pa.array(owner, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([of.column("minimiser"), of.column("string"), pa.array(offsets, pa.int32()), pa.array(parts, pa.binary()), of.column("least"), of.column("most")], schema=shape)  # noqa: B023
+
+            batch = batch.select(["minimiser", "string", "packed", "least", "most", "wanted"])
+            for k, (packed, every) in enumerate(zip(batch.column("packed"), batch.column("wanted"), strict=True)):
+                words, wanted = packed.as_py().split(b" "), sorted(set(every.as_py()))
+                begin = [i for i, w in enumerate(wanted) if single or not i or wanted[i - 1] != w - 1]
+                for a, b in zip(begin, [*begin[1:], len(wanted)], strict=True):
+                    owner.append(k)
+                    offsets.append(wanted[a])
+                    parts.append(b" ".join(words[wanted[a] : wanted[b - 1] + window]))
+                    size += len(parts[-1])
+                    if size > W.SLICE_BYTES:
+                        yield made()
+                        owner, offsets, parts, size = [], [], [], 0
+            if owner:
+                yield made()
 
     return run
 
