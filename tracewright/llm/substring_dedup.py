@@ -30,13 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import scratch
 from . import words as W
 
 WINDOW, RUN = 50, 5
 BUCKET_BYTES = 2_000_000
-HEAVY = 512
+HEAVY = 1500
 
 
 def super_kmers(words: W.Words, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,16 +249,19 @@ def _heavy_answers(strings: DataFrame, kind: str, window: int) -> DataFrame:
     keyed = strings.withColumn("string", F.xxhash64("packed"))
     merged = scratch.keep(keyed.groupBy(*own, "packed").agg(*one), "sub-merged")
     windows = scratch.keep(merged.mapInArrow(_window_hashes(window), f"minimiser long, string long, least {kind}, most {kind}, hashes array<long>").select(*own, "least", "most", F.posexplode("hashes").alias("at", "hash")), "sub-windows")
-    shared = windows.groupBy("hash").agg(*one).where("least < most").select("hash")
+    shared = scratch.keep(windows.groupBy("hash").agg(*one).where("least < most").select("hash"), "sub-shared-windows")
     wanted = windows.join(shared, "hash").groupBy(*own).agg(F.collect_set("at").alias("wanted"))
     runs = scratch.keep(merged.join(wanted, own).mapInArrow(_cut_out(window, False), shape).withColumn("remainder", F.xxhash64("part")), "sub-runs")
     remainders = runs.groupBy("minimiser", "remainder", "part").agg(*one)
     every = F.sequence(F.lit(0), F.length(F.regexp_replace(F.col("part").cast("string"), "[^ ]", "")) + 1 - window)
     singles = scratch.keep(remainders.select("minimiser", F.col("remainder").alias("string"), F.col("part").alias("packed"), "least", "most", every.alias("wanted")).mapInArrow(_cut_out(window, True), shape), "sub-singles")
     first = singles.groupBy("part").agg(F.min("least").alias("smallest"))
-    judged = scratch.keep(singles.join(first, "part").where("smallest < most").select("minimiser", F.col("string").alias("remainder"), F.col("offset").alias("inner"), "smallest"), "sub-judged")
-    placed = runs.select(*own, "remainder", "offset").join(judged, ["minimiser", "remainder"]).select(*own, (F.col("offset") + F.col("inner")).alias("offset"), "smallest")
-    return keyed.select("rid", *own).join(placed, own).select("rid", "offset", F.lit(1).alias("windows"), "smallest")
+    judged = singles.join(first, "part").where("smallest < most").select("minimiser", F.col("string").alias("remainder"), "offset", "smallest")
+    alike = Window.partitionBy("minimiser", "remainder", "smallest").orderBy("offset")  # the windows of one remainder
+    gap = judged.withColumn("run", F.col("offset") - F.row_number().over(alike))
+    judged = scratch.keep(gap.groupBy("minimiser", "remainder", "smallest", "run").agg(F.min("offset").alias("inner"), F.count(F.lit(1)).cast("int").alias("windows")).drop("run"), "sub-judged")
+    placed = runs.select(*own, "remainder", "offset").join(judged, ["minimiser", "remainder"]).select(*own, (F.col("offset") + F.col("inner")).alias("offset"), "windows", "smallest")
+    return keyed.select("rid", *own).join(placed, own).select("rid", "offset", "windows", "smallest")
 
 
 def _removed(words: W.Words, ranges: list[list[dict]]) -> np.ndarray:
