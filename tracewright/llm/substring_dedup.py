@@ -221,10 +221,9 @@ def _cut_out(window: int, single: bool):
             owner, offsets, parts, size = [], [], [], 0
 
             def made() -> pa.RecordBatch:
-                of = batch.take(pa.array(owner, pa.int64()))  # noqa: B023
-                return pa.RecordBatch.from_arrays([of.column("minimiser"), of.column("string"), pa.array(offsets, pa.int32()), pa.array(parts, pa.binary()), of.column("least"), of.column("most")], schema=shape)  # noqa: B023
+                of = lambda c: batch.column(c).take(pa.array(owner, pa.int64()))  # noqa: B023, E731
+                return pa.RecordBatch.from_arrays([of("minimiser"), of("string"), pa.array(offsets, pa.int32()), pa.array(parts, pa.binary()), of("least"), of("most")], schema=shape)  # noqa: B023
 
-            batch = batch.select(["minimiser", "string", "packed", "least", "most", "wanted"])
             for k, (packed, every) in enumerate(zip(batch.column("packed"), batch.column("wanted"), strict=True)):
                 words, wanted = packed.as_py().split(b" "), sorted(set(every.as_py()))
                 begin = [i for i, w in enumerate(wanted) if single or not i or wanted[i - 1] != w - 1]
