@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +137,27 @@ def test_removal(spark):
     spans = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.remove(docs, items).collect()}
     assert spans == {1: ("Keep this. ! And this.", 22), 2: ("clean text", 10), 4: (None, None)}
     assert {r.doc_id for r in decontaminate.remove(docs, items, mode="documents").collect()} == {2, 4}
+
+
+def test_a_block_is_small_and_lets_go(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(200))) for i in range(800)]
+    size = sum(len(t) for _, t in items)
+    assert decontaminate.build_block(items, 10).nbytes < 8 * size
+    docs = [(d, f"before {' '.join(t.split()[20:45])} behind") for d, t in items[::40]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find(df, bench, block_bytes=size // 6, at_once=2, cut=True)
+    got = {r.doc_id: (r._hits["items"], r._hits.cut) for r in found.collect()}
+    assert got == {d: ([str(d)], "before  behind") for d, _ in docs}
+
+
+def test_windows_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate.W, "hash_windows", lambda hashes, n, at: hashes[at] % np.uint64(3))
+    passage = [f"w{i}" for i in range(14)]
+    items = [(1, " ".join(passage)), (2, " ".join(passage[2:13])), (3, "short item"), (4, "short thing"), (2, " ".join(passage[2:13]))]
+    docs = [(1, "x " + " ".join(passage[1:13]) + " short thing"), (2, "short item short"), (3, "w1 w2")]
+    words = decontaminate.W.scan(pa.array([t for _, t in docs]), decontaminate.W.ALNUM, lower=True)
+    hit, found = decontaminate.hits(words, decontaminate.build_block(items, 10))
+    got = [(d, int(words.counts[k]), int(hit[words.first[k] : words.first[k + 1]].sum()), hashlib.sha256(",".join(sorted(found[k])).encode()).hexdigest()) for k, (d, _) in enumerate(docs)]
+    assert got == contaminated(docs, items)

@@ -4,8 +4,10 @@ Words are maximal runs of 0-9, a-z and characters from U+0080 on, after lower-ca
 consecutive words of a benchmark text; a text of fewer words, but not none, is one window. Texts are scanned as byte
 arrays; a window whose 64-bit hash is in the set is then compared word by word with the benchmark's window.
 
-The set is broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text: usually one. A larger benchmark is dealt
-into more blocks, and the texts pass over one block after the other, so that no broadcast grows with the benchmark.
+The set is broadcast in blocks of about ``BLOCK_BYTES`` of benchmark text: usually one. A block is a few flat arrays (sorted window
+hashes, where each window stands in the block's bytes, the items of each), about six bytes for each byte of text. The texts pass over
+``AT_ONCE`` blocks at a time; then the rows are kept, the blocks are let go and the next ones are made. So neither the driver nor a
+worker holds more of a larger benchmark.
 
 Nulls: a null text has no words. A benchmark row with a null item_id still marks words, but is not among the items.
 Repeated benchmark rows count once as items; repeated documents are scanned one by one. Other columns are ignored.
@@ -13,7 +15,7 @@ Repeated benchmark rows count once as items; repeated documents are scanned one
 
 from __future__ import annotations
 
-from collections import defaultdict
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -21,42 +23,94 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import words as W
 
 NGRAM = 10
-BLOCK_BYTES = 16_000_000
-
-
-def build_windows(items: list[tuple[object, str | None]], ngram: int) -> dict[int, tuple[np.ndarray, list[dict[bytes, list[str]]]]]:
-    """For each window length: sorted hashes, and for each hash its windows' words with the items that have them."""
-    found: dict[int, dict[int, dict[bytes, set[str]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    for item, text in items:
-        words = W.scan(pa.array([text or ""], pa.string()), W.ALNUM, lower=True)
-        if n := min(ngram, len(words.start)):
-            at = words.window_starts(n)
-            for i, h in zip(at, W.hash_windows(W.hash_words(words), n, at), strict=True):
-                owners = found[n][int(h)][b" ".join(words.word(k) for k in range(i, i + n))]
-                if item is not None:
-                    owners.add(str(item))
-    return {n: (np.array(sorted(by), dtype=np.uint64), [{k: sorted(v) for k, v in by[h].items()} for h in sorted(by)]) for n, by in found.items()}
-
-
-def hits(words: W.Words, windows: dict) -> tuple[np.ndarray, list[set[str]]]:
+BLOCK_BYTES, AT_ONCE = 4_000_000, 2
+
+
+@dataclass
+class Windows:
+    """The distinct windows of n words: sorted hashes, the first word of each, and its items, items[begin[k]:begin[k + 1]]."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    begin: np.ndarray
+    items: np.ndarray
+
+
+@dataclass
+class Block:
+    """Benchmark texts: their bytes, where each word stands in them, the items' names, and the windows by their number of words."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    names: list[str]
+    windows: dict[int, Windows]
+
+    def spelled(self, word: int, n: int) -> bytes:
+        return b" ".join(self.data[self.start[k] : self.end[k]].tobytes() for k in range(word, word + n))
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.data, self.start, self.end, *(x for w in self.windows.values() for x in (w.hashes, w.at, w.begin, w.items))))
+
+
+def build_block(items: list[tuple[object, str | None]], ngram: int) -> Block:
+    words = W.scan(pa.array([text or "" for _, text in items], pa.string()), W.ALNUM, lower=True)
+    names = sorted({str(item) for item, _ in items if item is not None})
+    number = {name: k for k, name in enumerate(names)}
+    of_text = np.array([-1 if item is None else number[str(item)] for item, _ in items], dtype=np.int32)
+    block = Block(words.data.copy(), words.start.astype(np.int32), words.end.astype(np.int32), names, {})
+    hashes, counts, owner = W.hash_words(words), words.counts, words.text_of_word()
+    for n in np.unique(np.minimum(counts, ngram)).tolist():
+        if n:
+            at = words.window_starts(n) if n == ngram else words.first[:-1][counts == n]
+            block.windows[n] = _distinct(block, n, at, W.hash_windows(hashes, n, at), of_text[owner[at]])
+    return block
+
+
+def _distinct(block: Block, n: int, at: np.ndarray, hashes: np.ndarray, items: np.ndarray) -> Windows:
+    """Equal windows as one, with their items; windows that only have the same hash stay apart."""
+    order = np.lexsort((items, hashes))
+    at, hashes, items = at[order].astype(np.int32), hashes[order], items[order]
+    group = np.cumsum(np.concatenate([[0], (hashes[1:] != hashes[:-1]).astype(np.int64)]))
+    for g in np.flatnonzero(np.bincount(group) > 1)[::-1].tolist():  # from the end, as later numbers move
+        a, b = np.searchsorted(group, [g, g + 1])
+        words = [block.spelled(w, n) for w in at[a:b].tolist()]
+        if len(different := sorted(set(words))) > 1:
+            inner = np.argsort([different.index(w) for w in words], kind="stable")
+            at[a:b], items[a:b] = at[a:b][inner], items[a:b][inner]
+            group[a:b] += np.array([different.index(words[k]) for k in inner])
+            group[b:] += len(different) - 1
+    once = np.concatenate([[True], (group[1:] != group[:-1]) | (items[1:] != items[:-1])])
+    at, hashes, items, group = at[once], hashes[once], items[once], group[once]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return Windows(hashes[first], at[first], np.append(first, len(group)).astype(np.int32), items)
+
+
+def hits(words: W.Words, block: Block) -> tuple[np.ndarray, list[set[str]]]:
     """Which words are hit, and the items found in each text."""
     hit = np.zeros(len(words.start), dtype=bool)
     items: list[set[str]] = [set() for _ in range(words.n_texts)]
     hashes = W.hash_words(words)
-    for n, (known, owners) in windows.items():
+    for n, known in block.windows.items():
         at = words.window_starts(n)
         h = W.hash_windows(hashes, n, at)
-        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        same = np.flatnonzero(known[place] == h)
+        place = np.minimum(np.searchsorted(known.hashes, h), len(known.hashes) - 1)
+        same = np.flatnonzero(known.hashes[place] == h)
         sure = []
-        for i, p in zip(at[same], place[same], strict=True):
-            who = owners[p].get(b" ".join(words.word(k) for k in range(i, i + n)))
-            if who is not None:
-                sure.append(i)
-                items[int(np.searchsorted(words.first, i, side="right")) - 1].update(who)
+        for i, p in zip(at[same].tolist(), place[same].tolist(), strict=True):
+            own, mine = b" ".join(words.word(k) for k in range(i, i + n)), known.hashes[p]
+            while p < len(known.hashes) and known.hashes[p] == mine:
+                if block.spelled(int(known.at[p]), n) == own:
+                    sure.append(i)
+                    who = known.items[known.begin[p] : known.begin[p + 1]].tolist()
+                    items[int(np.searchsorted(words.first, i, side="right")) - 1].update(block.names[k] for k in who if k >= 0)
+                    break
+                p += 1
         hit |= W.cover(len(hit), np.array(sure, dtype=np.int64), n)
     return hit, items
 
@@ -104,7 +158,7 @@ def _scanner(windows, cut: bool):
     return scan.asNondeterministic()  # one evaluation a row, whatever is filtered by it
 
 
-def find(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes: int = BLOCK_BYTES, cut: bool = False, at_once: int = AT_ONCE) -> DataFrame:
     """docs' columns and a struct _hits: n_words, spans (runs of hit words, [from, to)), items (sorted as strings), cut (on request: the
     text without the spans, where there are any)."""
     spark = docs.sparkSession
@@ -112,11 +166,16 @@ def find(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, block_bytes:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, ceil(total / block_bytes))
     none = F.struct(F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<`from`: int, `to`: int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(None).cast("string").alias("cut"))
-    out = docs.withColumn("_hits", none)
+    out, shared = docs.withColumn("_hits", none), []
     for k in range(blocks):
+        if len(shared) == at_once:
+            out = scratch.keep(out, "benchmark-hits")
+            for old in shared:
+                old.destroy()
+            shared = []
         block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        windows = spark.sparkContext.broadcast(build_windows([(r[0], r[1]) for r in block.toLocalIterator()], ngram))
-        out = out.withColumn("_hits", _scanner(windows, cut and k + 1 == blocks)("text", "_hits"))
+        shared.append(spark.sparkContext.broadcast(build_block([(r[0], r[1]) for r in block.toLocalIterator()], ngram)))
+        out = out.withColumn("_hits", _scanner(shared[-1], cut and k + 1 == blocks)("text", "_hits"))
     return out
 
 

@@ -37,7 +37,7 @@ from . import words as W
 
 WINDOW, RUN = 50, 5
 BUCKET_BYTES = 2_000_000
-HEAVY = 1500
+HEAVY = 1000
 
 
 def super_kmers(words: W.Words, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

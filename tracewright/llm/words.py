@@ -121,7 +121,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(which: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(which, ())) < n:
+    if which not in _powers or len(_powers[which]) < n:
         made = np.full(max(n, SLICE_BYTES + 1), base, dtype=np.uint64)
         made[0] = 1
         np.multiply.accumulate(made, out=made)
