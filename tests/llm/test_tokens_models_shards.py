@@ -147,6 +147,23 @@ def test_balanced_shards(spark):
     assert sorted(r.slot for r in few) == [0, 0, 0]
 
 
+def test_sharding_of_an_edge_table(spark):
+    """Overlapping communities by pairs and by a column: cut links are counted right, and few are left."""
+    rng = random.Random(8)
+    rows = [(i, f"h{i // 20}" if i % 3 else None, float(i)) for i in range(240)]
+    edges = [(i, j) for c in range(12) for i, j in (rng.sample(range(c * 20, c * 20 + 20), 2) for _ in range(60))] + [(rng.randrange(240), rng.randrange(240)) for _ in range(20)] + [(5, 5), (None, 3), (7, 9999)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, slot_ double").repartition(3)
+    done = {r.doc_id: r for r in sharding.assign(df, 6, ("host",), spark.createDataFrame(edges, "a long, b long")).collect()}
+    sizes = [sum(r.shard == s for r in done.values()) for s in range(6)]
+    assert len(done) == 240 and max(sizes) - min(sizes) <= 1
+    pairs = {(min(e), max(e)) for e in edges if None not in e and e[0] != e[1] and max(e) < 9999}
+    groups = [list(p) for p in pairs] + [[i for i, h, _ in rows if h == f"h{k}"] for k in range(12)]
+    for i, r in done.items():
+        mates = [j for g in groups if i in g for j in g if j != i]
+        assert (r.n_links, r.n_cut) == (len(mates), sum(done[j].shard != r.shard for j in mates))
+    assert sum(r.n_cut for r in done.values()) < 0.35 * sum(r.n_links for r in done.values())  # 5 of 6 at the start
+
+
 def quality_rows(n=260):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["river", "house", "walks", "the", "of", "green"]) + rng.choice(["", "", ".", ","]) for _ in range(60))

@@ -1,17 +1,20 @@
 """Balanced label propagation: documents into shards, linked ones together, sizes even.
 
-Documents of equal texts are linked. Every document starts in a shard by its place in a fixed order, so the counts are even
-at once. Then linked documents move, in rounds of joins, towards the shard where most of their neighbours are, as far as
-its quota has room; documents without a link give way and fill what is left. The law is ``rows``: shard counts
-differ by one at most, exactly.
-
-All members of a group have the same neighbours, so the state of the propagation is a count for each (group, shard): a group
-of any size is at most ``shards`` rows, and no pairs are made. Quotas and acceptance thresholds are a few numbers for
-each shard, the only thing the driver sees. Places in a group or shard come from range partitions with per-partition
-offsets, so no task holds a group or a shard.
-
-Nulls: a null text has size 16 and no link; a null doc_id sorts first. Repeated rows are rows of their own (of equal texts,
-so linked). Other columns are ignored. An empty table gives an empty result.
+Documents are linked by what they share (a text, a host, a cluster: any columns) and by an edge table of pairs. A link of many is one
+group, a pair is a group of two, so no pairs are made. Every document starts in the shard that its place in a fixed order gives, so the
+counts are even at once. Then, in rounds, linked documents are joined with the shards of their neighbours: each group counts its
+members by shard and points to its fullest shard with room, and a document moves where its groups together have more neighbours for it
+than its own shard, as far as that shard's quota goes. Documents without a link give way and fill what is left; where fewer than
+``SLACK`` of all are without, quotas are wider by the difference meanwhile, and in the end the documents with the fewest links inside
+leave a shard that is too full. Rounds go on until nobody wants to move, or the number of cut links has not fallen for ``PATIENCE``
+rounds; the best round counts. The law is ``rows``: shard counts differ by one at most, exactly.
+
+State is a row for each linked document, and a count for each (group, shard). The driver sees sums for each shard and turn only.
+Places in a shard come from range partitions with per-partition offsets, so no task holds a group or a shard.
+
+Nulls: a null text has size 16 and no link; a null link column links nothing; a null doc_id sorts first and is in no edge. Repeated
+rows are rows of their own (of equal texts, so linked); an edge of a repeated doc_id links all its rows. Other columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import scratch
 
-SHARDS, ROUNDS = 40, 40
-LEVELS, JITTERS = 16, 64
+SHARDS, PATIENCE, SLACK = 40, 4, 0.1
+LEVELS, JITTERS, PARTS = 16, 64, 1024
 
 
 def _quotas(n: int, shards: int) -> list[int]:
@@ -35,70 +37,132 @@ def _by_shard(values: list[int]) -> Column:
     return F.array(*(F.lit(v).cast("long") for v in values))
 
 
-def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """cells: grp, shard, n (documents of a group in a shard), within the quotas. Returns cells of the same totals for each
-    group, still within the quotas, after rounds in which smaller cells move to their group's largest one with room."""
-    shards, closed = len(quotas), set()
-    cells = scratch.keep(cells, "shard-cells")
-    for _ in range(rounds):
-        load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}
+def _accepted(wishes: DataFrame, room: list[int]) -> tuple[DataFrame, set[int], set[int]]:
+    """The wishes (node, target, turn, part) that fit: turn by turn up to each shard's room, of the turn that fills it some parts. And
+    the shards that were asked, and that took any."""
+    shards = len(room)
+    full: dict[int, tuple[int, int]] = {}  # the turn that fills a shard, and what is left for it
+    asked = wishes.groupBy("target", "turn").count().orderBy("target", "turn").collect()  # at most shards * LEVELS * JITTERS rows
+    room = list(room)
+    for t, turn, n in asked:
+        if t not in full:
+            if n <= room[t]:
+                room[t] -= n
+            else:
+                full[t] = (turn, room[t])
+    by = lambda values: F.element_at(_by_shard(values), F.col("target") + 1)
+    last = by([full[s][0] if s in full else LEVELS * JITTERS for s in range(shards)])
+    upto = [0] * shards
+    if full:
+        left = {t: n for t, (_, n) in full.items()}
+        for t, part, n in wishes.where(F.col("turn") == last).groupBy("target", "part").count().orderBy("target", "part").collect():  # shards * PARTS
+            if left.get(t, -1) >= n:
+                left[t] -= n
+                upto[t] = part + 1
+            else:
+                left[t] = -1
+    moves = wishes.where((F.col("turn") < last) | ((F.col("turn") == last) & (F.col("part") < by(upto)))).select("node", "target")
+    took = {t for t, turn, _ in asked if t not in full or turn < full[t][0] or upto[t]}
+    return moves, {t for t, _, _ in asked}, took
+
+
+def propagate(links: DataFrame, start: DataFrame, quotas: list[int], patience: int = PATIENCE) -> DataFrame:
+    """links: node, grp. start: node, shard, within the quotas. Returns node, shard, still within the quotas, with fewer links cut."""
+    closed: set[int] = set()
+    labels = best = scratch.keep(start, "shard-labels")
+    fewest, waited = None, 0  # of cut links, a group's members being linked with each other
+    while True:
+        at = links.join(labels, "node")
+        cells = scratch.keep(at.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n")), "shard-cells")
+        rows = F.col("n").cast("double")
+        cut = cells.groupBy("grp").agg((F.sum(rows) * F.sum(rows) - F.sum(rows * rows)).alias("cut")).agg(F.coalesce(F.sum("cut"), F.lit(0.0))).first()[0]
+        if fewest is None or cut < fewest:
+            fewest, best, waited = cut, labels, 0
+        else:
+            waited += 1
+        if not cut or waited > patience:
+            return best
+        load = {r[0]: r[1] for r in labels.groupBy("shard").count().collect()}
         room = [0 if s in closed else q - load.get(s, 0) for s, q in enumerate(quotas)]
-        own = Window.partitionBy("grp").orderBy(F.col("n").desc(), F.xxhash64("grp", "shard"))
-        ranked = cells.withColumn("rank", F.row_number().over(own)).withColumn("room", F.element_at(_by_shard(room), F.col("shard") + 1))
-        target = F.min_by(F.struct("rank", "shard", "n"), F.when(F.col("room") > 0, F.col("rank"))).over(Window.partitionBy("grp"))
-        wishes = ranked.withColumn("to", target).where((F.col("to.rank") < F.col("rank")) & F.col("to").isNotNull())
-        level = F.greatest(F.lit(0), LEVELS - 1 - F.floor(F.log2(F.col("to.n").cast("double")))).cast("int")
-        wishes = scratch.keep(wishes.select("grp", "shard", "n", F.col("to.shard").alias("target"), (level * JITTERS + F.pmod(F.xxhash64("grp"), F.lit(JITTERS))).cast("int").alias("turn")), "shard-wishes")
-        asked = wishes.groupBy("target", "turn").agg(F.sum("n").alias("n")).orderBy("target", "turn").collect()  # at most shards * LEVELS * JITTERS rows
+        open_ = cells.where(F.element_at(_by_shard(room), F.col("shard") + 1) > 0)
+        targets = open_.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("tie"), F.col("shard").alias("target"))).alias("to"))
+        known = scratch.keep(cells.join(targets.select("grp", "to.target", F.col("to.n").alias("there")), "grp", "left"), "shard-targets")
+        votes = at.join(known, ["grp", "shard"]).groupBy("node", "shard", "target").agg(F.sum("there").alias("there"), F.sum(F.col("n") - 1).alias("here"), F.max(F.struct("there", F.xxhash64("grp").alias("lead"))).alias("lead"))
+        choice = F.max(F.when(F.col("target") != F.col("shard"), F.struct("there", F.col("lead.lead").alias("lead"), "target"))).alias("to")
+        wants = votes.groupBy("node", "shard").agg(F.sum("here").alias("here"), choice).where("to.there > here")
+        level = F.greatest(F.lit(0), LEVELS - 1 - F.floor(F.log2(F.col("to.there").cast("double")))).cast("int")
+        turn = level * JITTERS + F.pmod(F.col("to.lead"), F.lit(JITTERS))
+        wishes = scratch.keep(wants.select("node", "to.target", turn.cast("int").alias("turn"), F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int").alias("part")), "shard-wishes")
+        moves, asked, took = _accepted(wishes, room)
         if not asked:
-            break
-        full: dict[int, tuple[int, int, int]] = {}  # the turn at which a shard fills up, what is left for it, and what it asks for
-        for t, turn, n in asked:
-            if t not in full:
-                if n <= room[t]:
-                    room[t] -= n
-                else:
-                    full[t] = (turn, room[t], n)
-        last = [full.get(s, (LEVELS * JITTERS, 0, 1)) for s in range(shards)]
-        at = lambda k: F.element_at(_by_shard([x[k] for x in last]), F.col("target") + 1)  # noqa: E731, B023
-        moved = F.when(F.col("turn") < at(0), F.col("n")).when(F.col("turn") == at(0), F.floor(F.col("n") * at(1) / at(2))).otherwise(0).cast("long")
-        moves = wishes.withColumn("moved", moved).where("moved > 0")
-        took = {r[0] for r in moves.select("target").distinct().collect()}  # at most a row for each shard
-        closed |= {t for t, _, _ in asked} - took  # what is left there is too little to be shared out
-        if not took:
-            continue
-        changes = moves.select("grp", "shard", (-F.col("moved")).alias("n")).unionByName(moves.select("grp", F.col("target").alias("shard"), F.col("moved").alias("n")))
-        cells = scratch.keep(cells.select("grp", "shard", "n").unionByName(changes).groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0"), "shard-cells")
-    return cells
-
-
-def assign(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """rows: doc_id, grp (null: no link) and columns to carry. Returns them with shard and slot (gapless from 0 in a shard)."""
-    carried = [c for c in rows.columns if c != "grp"]
-    named = rows.select(F.coalesce("grp", F.lit(b"").cast("binary")).alias("grp"), "doc_id", F.struct(*carried).alias("row"))
-    placed = scratch.keep(scratch.numbered(named, ["grp", "doc_id"], "pos", "shard-order"), "shard-placed")
+            return best
+        closed |= asked - took
+        if took:
+            labels = scratch.keep(labels.join(moves, "node", "left").select("node", F.coalesce("target", "shard").alias("shard")), "shard-labels")
+
+
+def _links(placed: DataFrame, groups: tuple[str, ...], edges: DataFrame | None) -> DataFrame:
+    """node, grp: for each group of two rows or more, its members."""
+    spelled = lambda kind, value: F.concat(F.lit(kind.encode() + b":"), value.cast("binary"))
+    found = None
+    for g in groups:
+        own = placed.where(F.col(f"row.`{g}`").isNotNull()).select(F.col("pos").alias("node"), spelled(g, F.col(f"row.`{g}`")).alias("grp"))
+        found = own if found is None else found.unionByName(own)
+    if edges is not None:
+        pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("grp", spelled("edge", F.concat_ws(":", "a", "b")))
+        ends = pairs.select(F.col("a").alias("doc_id"), "grp").unionByName(pairs.select(F.col("b").alias("doc_id"), "grp"))
+        own = placed.select("pos", F.col("row.doc_id").alias("doc_id")).join(ends, "doc_id").select(F.col("pos").alias("node"), "grp")
+        found = own if found is None else found.unionByName(own)
+    shared = found.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    return found.join(shared, "grp").select("node", "grp")
+
+
+def assign(rows: DataFrame, shards: int = SHARDS, groups: tuple[str, ...] = ("grp",), edges: DataFrame | None = None, patience: int = PATIENCE) -> DataFrame:
+    """rows: doc_id, columns of `groups` (equal values link rows) and columns to carry. edges: a, b, pairs of doc_ids. Returns the rows without
+    the groups' columns, with shard, slot (gapless from 0 in a shard), n_links and n_cut: the row's links, and those to other shards."""
+    carried = [c for c in rows.columns if c not in groups]
+    named = rows.select("doc_id", F.struct(*rows.columns).alias("row")).withColumn("tie", F.xxhash64("row"))
+    placed = scratch.keep(scratch.numbered(named, ["doc_id", "tie"], "pos", "shard-order"), "shard-placed")
     n = placed.count()
     quotas = _quotas(n, shards)
-    groups = scratch.keep(placed.where("grp <> X''").groupBy("grp").agg(F.min("pos").alias("from"), F.count(F.lit(1)).alias("size")).where("size > 1"), "shard-groups")
-    linked = scratch.keep(placed.join(groups, "grp", "left"), "shard-linked")
-    start = F.pmod("pos", F.lit(shards)).cast("int")
-    cells = propagate(linked.where("size is not null").groupBy("grp", start.alias("shard")).agg(F.count(F.lit(1)).alias("n")), quotas, rounds)
-
-    load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}
-    own = Window.partitionBy("grp").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = scratch.keep(cells.withColumn("upto", F.sum("n").over(own)).select("grp", "shard", (F.col("upto") - F.col("n")).alias("lo"), F.col("upto").alias("hi")), "shard-ranges")
-    member = F.col("pos") - F.col("from")
-    together = linked.where("size is not null").withColumn("member", member).join(ranges, "grp").where("member >= lo and member < hi")
-
+    links = scratch.keep(_links(placed, groups, edges), "shard-links")
+    start = scratch.keep(links.select("node").distinct().withColumn("shard", F.pmod("node", F.lit(shards)).cast("int")), "shard-start")
+    spare = (n - start.count()) // shards
+    slack = [max(0, int(SLACK * q) - spare) for q in quotas]
+    labels = propagate(links, start, [q + more for q, more in zip(quotas, slack, strict=True)], patience)
+    if any(slack):
+        labels = _within(links, labels, quotas)
+
+    both = scratch.keep(placed.select("row", "pos").join(labels.withColumnRenamed("node", "pos"), "pos", "left"), "shard-linked")
+    load = {r[0]: r[1] for r in both.where("shard is not null").groupBy("shard").count().collect()}
     free, upto = [q - load.get(s, 0) for s, q in enumerate(quotas)], []
     for f in free:
         upto.append((upto[-1] if upto else 0) + f)
-    alone = scratch.numbered(linked.where("size is null").drop("from", "size"), ["doc_id", "pos"], "single", "shard-single")
-    filled = alone.withColumn("shard", sum(((F.col("single") >= u).cast("int") for u in upto), F.lit(0)))
-    both = together.select("row", "doc_id", "shard", "pos").unionByName(filled.select("row", "doc_id", "shard", "pos"))
-    ordered = scratch.numbered(both, ["shard", "doc_id", "pos"], "at", "shard-slots")
+    alone = scratch.numbered(both.where("shard is null").drop("shard"), ["pos"], "single", "shard-single")
+    filled = alone.select("row", "pos", sum(((F.col("single") >= u).cast("int") for u in upto), F.lit(0)).alias("shard"))
+    ordered = scratch.keep(scratch.numbered(both.where("shard is not null").select(filled.columns).unionByName(filled), ["shard", "pos"], "at", "shard-slots"), "shard-slots")
+    counted = _own_links(links, ordered.select(F.col("pos").alias("node"), "shard"))
     first = [sum(quotas[:s]) for s in range(shards)]
-    return ordered.select("row.*", "shard", (F.col("at") - F.element_at(_by_shard(first), F.col("shard") + 1)).alias("slot"))
+    none = F.lit(0).cast("long")
+    out = ordered.join(counted.select(F.col("node").alias("pos"), "n_links", "n_cut"), "pos", "left")
+    return out.select(*(F.col(f"row.`{c}`") for c in carried), "shard", (F.col("at") - F.element_at(_by_shard(first), F.col("shard") + 1)).alias("slot"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("n_cut", none).alias("n_cut"))
+
+
+def _own_links(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, shard, n_links, n_cut: of each linked row its links, and those to other shards."""
+    at = scratch.keep(links.join(labels, "node"), "shard-at")
+    cells = at.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("n"))
+    sizes = scratch.keep(cells.join(cells.groupBy("grp").agg(F.sum("n").alias("size")), "grp"), "shard-cells")
+    return at.join(sizes, ["grp", "shard"]).groupBy("node", "shard").agg(F.sum(F.col("size") - 1).alias("n_links"), F.sum(F.col("size") - F.col("n")).alias("n_cut"))
+
+
+def _within(links: DataFrame, labels: DataFrame, quotas: list[int]) -> DataFrame:
+    """The labels but for what is beyond a shard's quota: of each shard the rows with the fewest links inside it lose theirs."""
+    ranked = scratch.numbered(_own_links(links, labels).withColumn("few", F.col("n_cut") - F.col("n_links")), ["shard", "few", "node"], "at", "shard-ranked")
+    load = {r[0]: r[1] for r in labels.groupBy("shard").count().collect()}
+    first = [sum(load.get(k, 0) for k in range(s)) for s in range(len(quotas))]
+    at = lambda values: F.element_at(_by_shard(values), F.col("shard") + 1)
+    return scratch.keep(ranked.where(F.col("at") - at(first) < at(quotas)).select("node", "shard"), "shard-labels")
 
 
 def op3_balanced_sharding(spark, sf_dir: str) -> DataFrame:
@@ -106,4 +170,4 @@ def op3_balanced_sharding(spark, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.unhex(F.sha2("text", 256)).alias("grp"))
     done = assign(rows)
-    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"))
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard"), "n_links", "n_cut")
