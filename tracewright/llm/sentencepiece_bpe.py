@@ -75,6 +75,8 @@ class Pieces:
                 self.ids[piece], scores[piece] = i, m.get_score(i)
                 self.bytes.append(piece.replace(SPACE, " ").encode())
         self.byte_ids = [byte_ids[b] for b in range(256)]
+        if len(self.bytes) > 1 << 16:
+            raise ValueError(f"a model of {len(self.bytes)} pieces: ids are 16 bits wide")
         order = {score: r for r, score in enumerate(sorted(set(scores.values()), reverse=True))}
         self.ranks = {piece: order[score] for piece, score in scores.items()}  # the best score first
         inside = sorted({c for p in self.ids if len(p) > 1 for c in p} - {SPACE})
@@ -450,6 +452,31 @@ def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed:
     return done.select(*(F.col(f"row.`{c}`") for c in others), F.struct("ids", "n_pieces", "decoded_sha256", "lossless").alias("_encoded"))
 
 
+def _decoder(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _encoder(model, 0.0, 0).pieces
+        for batch in batches:
+            texts = []
+            for raw in batch.column("ids"):
+                own = np.frombuffer(raw.as_py() or b"", "<u2").tolist()
+                bad = max(own, default=0) >= len(pieces.bytes)
+                texts.append(None if raw.as_py() is None or bad else pieces.decode(own).decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+    return run
+
+
+def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
+    """encoded's columns (ids as `encode` gives them, and others) with `text` in place of ids. Null ids, and ids that the model does not
+    have, give a null text; no ids an empty one."""
+    with open(model, "rb") as f:
+        shared = encoded.sparkSession.sparkContext.broadcast(f.read())  # a model file, below 1 MB
+    others = [c for c in encoded.columns if c not in ("ids", "text")]
+    rows = encoded.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), "ids")
+    done = rows.mapInArrow(_decoder(shared), f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return done.select(*(F.col(f"row.`{c}`") for c in others), "text")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = encode(docs)

@@ -113,7 +113,7 @@ def _links(placed: DataFrame, groups: tuple[str, ...], edges: DataFrame | None)
         ends = pairs.select(F.col("a").alias("doc_id"), "grp").unionByName(pairs.select(F.col("b").alias("doc_id"), "grp"))
         own = placed.select("pos", F.col("row.doc_id").alias("doc_id")).join(ends, "doc_id").select(F.col("pos").alias("node"), "grp")
         found = own if found is None else found.unionByName(own)
-    shared = found.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    shared = scratch.keep(found.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp"), "shard-shared")
     return found.join(shared, "grp").select("node", "grp")
 
 

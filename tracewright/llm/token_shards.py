@@ -68,19 +68,20 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY, backwards: bool = False
     return out.astype(np.int64)
 
 
-_encodings: dict[int, object] = {}
+_encodings: dict[bytes, object] = {}
 
 
 def _encoding(vocabulary):
     """The tokeniser of a broadcast vocabulary file, once a worker."""
     data = vocabulary.value
-    if id(data) not in _encodings:
+    name = hashlib.md5(data, usedforsecurity=False).digest()
+    if name not in _encodings:
         import tiktoken
 
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
         _encodings.clear()
-        _encodings[id(data)] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[id(data)]
+        _encodings[name] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[name]
 
 
 def _packer(vocabulary, length: int, schema: pa.Schema):
