@@ -285,7 +285,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = PERCENT) -> DataF
     """docs with one document of each group, that of the smallest doc_id (in a group without ids, of the least hash of the text); docs'
     columns. Of repeated rows of one doc_id and one text, one stays. Documents without words are in no group."""
     found = scratch.keep(find_groups(docs, shingle, percent).where("set_key is not null").select("doc_id", "row_key", "component_id", "part"), "near-found")
-    unnamed = found.where("component_id is null").groupBy("part").agg(F.min("row_key").alias("least"))
+    unnamed = scratch.keep(found.where("component_id is null").groupBy("part").agg(F.min("row_key").alias("least")), "near-unnamed")
     first = found.join(unnamed, "part", "left").withColumn("first", F.when(F.col("component_id").isNull(), F.col("row_key") == F.col("least")).otherwise(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     first = scratch.keep(first.select(F.col("doc_id").alias("f_id"), F.col("row_key").alias("f_key"), "first"), "near-first")
     gone = first.where(~F.col("first")).select("f_id", "f_key").distinct()
