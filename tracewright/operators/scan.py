@@ -38,6 +38,16 @@ def function_fields(summary: DataFrame, origins: DataFrame, function_id: str | N
     return summary.join(nested, keys, "left").withColumn("origins", F.coalesce("origins", F.expr("cast(array() as array<struct<call_line: int, callee_id: string>>)")))
 
 
+def with_dispatch(fields: DataFrame, edges: DataFrame) -> DataFrame:
+    """function_fields, each origin with the origin and confidence of the dispatch that leads to its callee (null: none)."""
+    keys = ["function_id", "access_kind", "field_path"]
+    targets = dispatch_targets(edges).select(F.col("target_id").alias("callee_id"), "origin", "confidence")
+    flat = fields.select(*keys, F.explode("origins").alias("o")).select(*keys, "o.*").join(targets, "callee_id", "left")
+    nested = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("call_line", "callee_id", "origin", "confidence"))).alias("origins"))
+    none = F.expr("cast(array() as array<struct<call_line: int, callee_id: string, origin: string, confidence: double>>)")
+    return fields.drop("origins").join(nested, keys, "left").withColumn("origins", F.coalesce("origins", none))
+
+
 def edges_from(edges: DataFrame, kind: str, source_id: str | None = None) -> DataFrame:
     """indirect_write, dispatch_to, ... edges, of one source or of all."""
     found = edges.where(F.col("kind") == kind)

@@ -8,19 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions import affinity as A
-from ..functions import gittext, ids, naming
+from ..functions import anchors, gittext, ids, naming
 from ..functions.sqltext import condition_columns_udf, parse_sql
-from ..operators import bundle, callgraph, closure, deadcode, ingest, modules, relations, scan, trace, virtual_columns
+from ..operators import build, bundle, callgraph, closure, deadcode, ingest, modules, relations, scan, trace, virtual_columns
 from ..sources import readers, sinks
 from ..storage import shared_folder
-from . import shop
+from . import answers, shop
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 CUSTOMER, METHOD = "symbol:go:shop/cust:f1", "symbol:go:shop/supp:(S0).m1"
+ASKED = "symbol:go:shop/cust:f10"
 USER, FIELD = "symbol:go:shop/user:u5", "shop/user.T1.F1"
 
 
@@ -84,6 +86,46 @@ def _(spark, d):
     return scan.function_fields(g.summary, g.origins).select("function_id", "access_kind", "field_path", text.alias("origins"))
 
 
+@query("field_origins", """
+WITH t AS (SELECT target_id, arg_max(origin, (confidence, source_id)) AS origin, max(confidence) AS c FROM g_edges WHERE kind = 'dispatch_to' GROUP BY 1),
+o AS (SELECT function_id, access_kind, field_path, string_agg(call_line || ':' || coalesce(t.origin || t.c, ''), ';' ORDER BY call_line, callee_id) AS origins
+  FROM (SELECT * REPLACE ('symbol:go:shop/user:u' || (call_line % 60) AS callee_id) FROM g_origins) g LEFT JOIN t ON t.target_id = g.callee_id GROUP BY ALL)
+SELECT s.function_id, s.access_kind, s.field_path, coalesce(origins, '') AS origins FROM g_summary s LEFT JOIN o ON s.function_id = o.function_id AND s.access_kind = o.access_kind AND s.field_path = o.field_path
+""")
+def _(spark, d):
+    g = shop.graph(spark, d)
+    origins = g.origins.withColumn("callee_id", F.concat(F.lit("symbol:go:shop/user:u"), F.col("call_line") % 60))
+    marked = scan.with_dispatch(scan.function_fields(g.summary, origins), g.edges)
+    text = F.array_join(F.transform("origins", lambda o: F.concat(o["call_line"].cast("string"), F.lit(":"), F.coalesce(F.concat(o["origin"], o["confidence"].cast("string")), F.lit("")))), ";")
+    return marked.select("function_id", "access_kind", "field_path", text.alias("origins"))
+
+
+@query("answer_callees", f"""
+SELECT format('{{{{"target": "{ASKED}", "rows": [{{}}]}}}}', string_agg(format('{{{{"id": "{{}}", "name": "{{}}", "kind": "{{}}", "file": "{{}}", "line": {{}}}}}}', id, name, kind, file_path, line_start), ', ' ORDER BY name, id)) AS json
+FROM g_nodes WHERE id IN (SELECT target_id FROM g_edges WHERE kind = 'calls' AND confidence >= 0.8 AND source_id = '{ASKED}')
+""")
+def _(spark, d):
+    return spark.createDataFrame([(answers.answer(shop.graph(spark, d), "callees", ASKED),)], "json string")
+
+
+_LINES = """
+SELECT k, CASE k % 6 WHEN 0 THEN '  u.Brands = brands' || k || '.All()' WHEN 1 THEN 'v' || k || ' := svc.Get(x)' WHEN 2 THEN 'Email: req.Email' || k || ', // kept' WHEN 3 THEN 'return' WHEN 4 THEN 'a.b.c = d' || k || '(1)' ELSE 'Key: x' END AS line,
+  CASE k % 6 WHEN 0 THEN 'u' WHEN 1 THEN 'v' || k WHEN 4 THEN 'a.b' ELSE '' END AS target, CASE k % 6 WHEN 0 THEN 'brands' || k WHEN 1 THEN 'svc' WHEN 2 THEN 'req.Email' || k WHEN 4 THEN 'd' || k WHEN 5 THEN 'x' ELSE '' END AS value
+FROM (SELECT s_suppkey AS k FROM {supplier}) s
+"""
+
+
+@query("anchor_sides", f"""
+SELECT k, target, value, CASE WHEN k % 7 > 0 AND k % 2 = 1 AND value <> '' THEN 'value' WHEN k % 7 > 0 AND k % 2 = 0 AND target <> '' THEN 'object' ELSE 'source' END AS side, CASE WHEN k % 5 = 0 THEN '（未知函数）' ELSE 'f' || k END || '#n' AS anchor FROM ({_LINES.format(supplier='supplier')})
+""", bare=True)
+def _(spark, d):
+    rows = spark.sql(_LINES, supplier=spark.read.parquet(f"{d}/supplier.parquet"))
+    k, line = F.col("k"), F.col("line")
+    name = F.when(k % 2 == 1, F.col("value")).otherwise(F.col("target"))
+    func = F.when(k % 5 != 0, F.concat(F.lit("symbol:go:p:f"), k))
+    return rows.select("k", anchors.assigned_to(line).alias("target"), anchors.assigned_value(line).alias("value"), anchors.source_side(F.when(k % 7 > 0, 1).otherwise(2), name, line).alias("side"), anchors.short_anchor(func, F.lit("n")).alias("anchor"))
+
+
 @query("dispatch_edges", "SELECT source_id, target_id, origin FROM g_edges WHERE kind = 'dispatch_to'")
 def _(spark, d):
     return scan.edges_from(shop.graph(spark, d).edges, "dispatch_to").select("source_id", "target_id", "origin")
@@ -182,6 +224,63 @@ def _(spark, d):
     return up.select("id", "name", F.array_join(F.array_sort(F.transform(F.map_entries("properties"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("props"))
 
 
+def _items(spark, d):
+    """Customers as nodes and orders as facts, some of them to customers that do not exist."""
+    c, o = spark.read.parquet(f"{d}/customer.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in S.ITEM}
+    node = F.struct(F.concat(F.lit("c"), "c_custkey"), F.lit("function"), "c_name", F.concat(F.lit("m"), "c_nationkey", F.lit(".go")), F.lit(1), F.lit(2), F.create_map(F.lit("segment"), "c_mktsegment")).cast(S.NODE)
+    fact = F.struct(F.concat(F.lit("c"), "o_custkey"), F.concat(F.lit("c"), F.col("o_orderkey") % 2000), F.lit("calls"), F.lit("ssa"), F.lit(0.8), F.lit(None)).cast(S.EDGE)
+    nodes = c.select(node.alias("node"), none["fact"], none["summary"], none["origins"], F.col("c_custkey").alias("seq"))
+    return nodes.unionByName(o.select(none["node"], fact.alias("fact"), none["summary"], none["origins"], F.col("o_orderkey").alias("seq")))
+
+
+@query("full_build", """
+SELECT 'b1' AS build_id, 'degraded' AS status, 'git: no repository' AS error_message, (SELECT count(*) FROM customer) AS nodes_count,
+  (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderkey % 2000 AS t FROM orders) e WHERE o_custkey IN (SELECT c_custkey FROM customer) AND t IN (SELECT c_custkey FROM customer)) AS edges_count
+""", bare=True)
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/build-{uuid.uuid4().hex[:12]}"
+    done = build.full(_items(spark, d), folder, build.Run("b1", "abc", "a1", 1, errors={"git": "no repository", "ssa": None}))
+    return _longs(done.select("build_id", "status", "error_message", "nodes_count", "edges_count"))
+
+
+@query("incremental_build", """
+WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'c' || (o_orderkey % 2000) AS b FROM orders)
+SELECT n.status, (SELECT count(*) FROM customer) AS nodes_count, (SELECT count(*) FROM e WHERE a IN (SELECT 'c' || c_custkey FROM customer) AND b IN (SELECT 'c' || c_custkey FROM customer)) AS edges_count,
+  (SELECT count(*) FROM customer WHERE c_nationkey = 3) AS renamed FROM (SELECT 'success' AS status) n
+""", bare=True)
+def _(spark, d):
+    """All nodes get other names, but only those of one changed file are taken over."""
+    folder = f"{shared_folder(spark)}/build-{uuid.uuid4().hex[:12]}"
+    items = _items(spark, d)
+    build.full(items, folder, build.Run("b1", "abc", "a1", 1))
+    renamed = items.withColumn("node", F.when(F.col("node").isNotNull(), F.col("node").withField("name", F.lit("new"))))
+    row = build.update(renamed, spark.createDataFrame([("m3.go",)], "file_path string"), folder, build.Run("b2", "abd", "a1", 2))
+    new = spark.read.parquet(f"{folder}/build=b2/nodes").where("name = 'new'").agg(F.count(F.lit(1)).alias("renamed"))
+    return _longs(row.select("status", "nodes_count", "edges_count").join(new, F.lit(True)))  # one row each
+
+
+@query("registry", """
+WITH r AS (SELECT '/src/n' || n_nationkey AS path, 'm' || (n_nationkey % 5) AS module, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'old' END AS head_commit, 'old' AS registered_at FROM nation)
+SELECT path, module, CASE WHEN path = '/src/n4' THEN 'h4' ELSE head_commit END AS head_commit, registered_at FROM r WHERE path <> '/src/n7'
+""", bare=True)
+def _(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    rows = lambda at: n.select(F.concat(F.lit("/src/n"), "n_nationkey").alias("path"), F.concat(F.lit("m"), F.col("n_nationkey") % 5).alias("module"), F.lit(at).alias("head_commit"), F.lit(at).alias("build_id"), F.lit(at).alias("last_built_at"), F.lit("").alias("main_path"), F.lit(at).alias("registered_at"), "n_nationkey")
+    repos = build.register(rows("old").drop("n_nationkey"), rows("new").where("n_nationkey % 3 = 0").drop("n_nationkey"))
+    repos = build.refresh(ingest.remove_repo(repos, "/src/n7"), "/src/n4", "h4", "b4", "now")
+    return repos.select("path", "module", "head_commit", "registered_at")
+
+
+@query("repo_reference", """
+WITH r AS (SELECT '/src/n' || n_nationkey AS path, 'n' || n_nationkey AS base, 'm' || (n_nationkey % 5) AS module FROM nation)
+SELECT path FROM r WHERE module = 'm3'
+""", bare=True)
+def _(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    return build.referred(n.select(F.concat(F.lit("/src/n"), "n_nationkey").alias("path"), F.concat(F.lit("m"), F.col("n_nationkey") % 5).alias("module")), "m3")
+
+
 @query("edge_upsert", """
 WITH e AS (SELECT l_partkey % 50 AS s, l_suppkey AS t, l_quantity AS q, l_orderkey * 10 + l_linenumber AS seq FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY q DESC, seq) AS n FROM e)
