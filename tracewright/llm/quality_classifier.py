@@ -2,12 +2,12 @@
 
 Terms of a text are, for each word, the word itself (hashed to ``WORDS`` places), its shape (case, digits, last character if no
 letter, length) and, where it equals one of the two words before, a repetition mark. Every term has a sparse random index vector; a
-word's vector is the sum of the index vectors of the terms near it over the training sample, plus its own. A document is the mean
+word's vector is the sum of the index vectors of the words near it over all documents, plus its own. A document is the mean
 of its words' vectors beside the mean of its shapes' and marks' index vectors, with its logarithmic length.
 
 The network (hidden tanh layer, one output) is fitted with numpy on the driver, on at most ``SAMPLE`` labelled documents, those
-with the smallest hash of doc_id; a fifth of them is left out to fit the temperature. Word vectors are summed from the same
-documents on the executors. Scoring covers every whole text, in one scan without a shuffle; the model (about 2 MB) is broadcast.
+with the smallest hash of doc_id; a fifth of them is left out to fit the temperature. Word vectors need no labels: every task sums
+those of its documents, in whole numbers, and a combining aggregate of one row a word adds the tasks' sums up. Scoring covers every whole text, in one scan without a shuffle; the model (about 2 MB) is broadcast.
 
 Nulls: a null or empty text is scored as a text without words; rows of labels without doc_id or label are ignored, as are
 documents whose labels contradict each other. Without usable labels of both kinds every score is the share of label 1 (0.5
@@ -91,19 +91,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def context_sums(texts: pa.Array) -> np.ndarray:
-    """Sums of the index vectors of the two words on either side, for each word place, over a slice."""
+@functools.cache
+def _entries() -> tuple[np.ndarray, np.ndarray]:
+    """The places and signs of each word's index vector; a sign of 0 where entries fell together."""
     index = index_vectors(WORDS, DIM, SEED)
+    at = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :4]
+    return at, np.take_along_axis(index, at, axis=1).astype(np.float64)
+
+
+def context_sums(texts: pa.Array) -> np.ndarray:
+    """Sums of the index vectors of the two words on either side, for each word place, over a slice; in whole numbers."""
+    at, sign = _entries()
     words = W.scan(texts, W.SPACED)
     word, _, _ = terms(words)
     owner = words.text_of_word()
-    sums = np.zeros((WORDS, DIM), dtype=np.float32)
+    sums = np.zeros(WORDS * DIM)
     for gap in (1, 2):
         same = owner[gap:] == owner[:-gap]
         left, right = word[:-gap][same], word[gap:][same]
-        np.add.at(sums, left, index[right])
-        np.add.at(sums, right, index[left])
-    return sums
+        for k in range(4):
+            sums += np.bincount(left * DIM + at[right, k], sign[right, k], WORDS * DIM)
+            sums += np.bincount(right * DIM + at[left, k], sign[left, k], WORDS * DIM)
+    return sums.astype(np.int64).reshape(WORDS, DIM)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
@@ -152,13 +161,28 @@ def fold(doc_id: str = "doc_id", of: int = 4) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(of))
 
 
+_SUMS = [f"s{k}" for k in range(DIM)]
+
+
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((WORDS, DIM), dtype=np.float32)
+    """A task's sums, a row for each word that it has."""
+    total = np.zeros((WORDS, DIM), dtype=np.int64)
     for batch in batches:
         texts = W.texts_of(batch.column("text"))
         for i, j in W.slices(texts):
             total += context_sums(texts.slice(i, j - i))
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+    some = np.flatnonzero(total.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(total[some, k]) for k in range(DIM))], ["word", *_SUMS])
+
+
+def corpus_sums(docs: DataFrame) -> np.ndarray:
+    """context_sums of all documents."""
+    part = docs.select("text").mapInArrow(_sums, ", ".join(f"{c} long" for c in ["word", *_SUMS]))
+    rows = part.groupBy("word").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()  # at most WORDS rows
+    out = np.zeros((WORDS, DIM))
+    for r in rows:
+        out[r[0]] = r[1:]
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int | None = 2) -> Model:
@@ -172,10 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int
     parts = 8
     wanted = F.broadcast(spark.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int"))  # at most `sample` rows
     texts = docs.select("doc_id", "text").join(wanted, "doc_id").repartition(parts, "doc_id")
-    sums = np.zeros((WORDS, DIM), dtype=np.float32)
-    for row in texts.mapInArrow(_sums, "sums binary").toLocalIterator():  # one row of 1 MB for each of the parts
-        sums += np.frombuffer(row[0], np.float32).reshape(WORDS, DIM)
-    vectors = word_vectors(sums).astype(np.float32)
+    vectors = word_vectors(corpus_sums(docs)).astype(np.float32)
     shared = spark.sparkContext.broadcast(vectors)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
