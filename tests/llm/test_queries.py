@@ -154,3 +154,11 @@ def test_huge_sets_have_signatures_of_their_own():
     rng = np.random.default_rng(5)
     a, b = (near_dedup.band_keys(near_dedup.signature(np.unique(rng.integers(0, 2**64, 4_000_000, dtype=np.uint64)))) for _ in range(2))
     assert not (a == b).any()
+
+
+def test_token_shards_of_string_ids(spark, tmp_path):
+    from tracewright.llm import token_shards
+
+    docs = spark.createDataFrame([("a", "some words " * 40), (None, "no id " * 40), ("c", None)], "doc_id string, text string").coalesce(1)
+    rows = token_shards.write_shards(docs, f"file://{tmp_path}/out", length=32).orderBy("sequence").collect()
+    assert rows[0].first_doc_id == "a" and {r.first_doc_id for r in rows} <= {"a", None, "c"} and any(r.first_doc_id is None for r in rows)

@@ -161,3 +161,14 @@ def test_windows_of_one_hash_stay_apart(monkeypatch):
     hit, found = decontaminate.hits(words, decontaminate.build_block(items, 10))
     got = [(d, int(words.counts[k]), int(hit[words.first[k] : words.first[k + 1]].sum()), hashlib.sha256(",".join(sorted(found[k])).encode()).hexdigest()) for k, (d, _) in enumerate(docs)]
     assert got == contaminated(docs, items)
+
+
+def test_a_rewriting_template_keeps_the_loss_spans():
+    """One that shows all answers but the last as dots, and one that moves the first turn to the end."""
+    turns = [("user", "hi"), ("assistant", "first"), ("user", "more"), ("assistant", "second")]
+    last_only = lambda ts: "".join(f"[{r}]{t if r == 'user' or k == len(ts) - 1 else '...'}|" for k, (r, t) in enumerate(ts))
+    out, _, loss, rewritten = chat_format.render_spans(turns, last_only)
+    assert rewritten == 2 and [out[a:b] for a, b in loss] == ["second"]
+    moved = lambda ts: "".join(f"<{r}>{t}" for r, t in [*ts[1:], *ts[:1]])
+    out, _, loss, rewritten = chat_format.render_spans(turns, moved)
+    assert rewritten == 1 and [out[a:b] for a, b in loss] == ["first", "second"]

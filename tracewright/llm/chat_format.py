@@ -66,7 +66,8 @@ def _common(a: str, b: str) -> int:
 
 def render_spans(turns: Turns, template: Template, learn: tuple[str, ...] = ("assistant",)) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], int]:
     """The output; each turn's span in it; the span of the text of each turn whose role is in `learn`; and the first turn at
-    which the template rewrites history, or -1. After a rewrite, spans count from where the outputs part, and no texts are given."""
+    which the template rewrites history, or -1. After a rewrite, turns' spans count from where the outputs part; texts are then found by
+    probes of each in the whole conversation, and one that the output does not show has no span."""
     before, spans, texts, rewritten = template([]), [], [], -1
     for k, (role, _) in enumerate(turns):
         now = template(turns[: k + 1])
@@ -80,7 +81,18 @@ def render_spans(turns: Turns, template: Template, learn: tuple[str, ...] = ("as
             head = _common(one, other)
             texts.append((head, len(now) - (len(one) - head - 1)))
         before = now
-    return before, spans, [] if rewritten >= 0 else texts, rewritten
+    return before, spans, texts if rewritten < 0 else _texts_at_last(turns, before, template, learn), rewritten
+
+
+def _texts_at_last(turns: Turns, output: str, template: Template, learn: tuple[str, ...]) -> list[tuple[int, int]]:
+    texts = []
+    for k, (role, _) in enumerate(turns):
+        if role in learn:
+            one, other = (template([*turns[:k], (role, p), *turns[k + 1 :]]) for p in PROBES)
+            if one != other:
+                head = _common(one, other)
+                texts.append((head, len(output) - (len(one) - head - 1)))
+    return texts
 
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Turns]]:

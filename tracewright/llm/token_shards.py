@@ -29,6 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import scratch
 from . import words as W
@@ -123,7 +124,7 @@ def _packer(vocabulary, length: int, schema: pa.Schema):
     return run
 
 
-def _dealer(bases, n: int, key: int, length: int, per_shard: int):
+def _dealer(bases, n: int, key: int, length: int, per_shard: int, doc: pa.DataType):
     """Sequences to their shards: one compressed row for each shard and few megabytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def _dealer(bases, n: int, key: int, length: int, per_shard: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 o = order[a:b]
                 rows.append({"shard": int(shard[a]), "slots": slots[o].tolist(), "numbers": numbers[o].tolist(), "used": used[o].tolist(), "firsts": [firsts[k] for k in o], "ids": pack(ids[o].tobytes())})
-            return pa.RecordBatch.from_pylist(rows, _DEALT(pa.int64()))
+            return pa.RecordBatch.from_pylist(rows, _DEALT(doc))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -169,7 +170,7 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def _writer(out: str, n: int, length: int, per_shard: int):
+def _writer(out: str, n: int, length: int, per_shard: int, doc: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         buffers: dict[int, np.ndarray] = {}
@@ -191,7 +192,7 @@ def _writer(out: str, n: int, length: int, per_shard: int):
             store.move(temporary, name)
             slots, numbers, used, firsts, digests = zip(*sorted(rows[s]), strict=True)
             at = (np.array(slots) - s * per_shard) * length * 2
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(numbers, pa.int64()), pa.array([s] * len(slots), pa.int32()), pa.array(at, pa.int64()), pa.array(used, pa.int32()), pa.array(firsts, pa.int64()), pa.array(digests, pa.string())], ["slot", "sequence", "shard", "byte_offset", "n_tokens", "first_doc_id", "ids_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(numbers, pa.int64()), pa.array([s] * len(slots), pa.int32()), pa.array(at, pa.int64()), pa.array(used, pa.int32()), pa.array(firsts, doc), pa.array(digests, pa.string())], ["slot", "sequence", "shard", "byte_offset", "n_tokens", "first_doc_id", "ids_sha256"])
 
     return run
 
@@ -206,16 +207,17 @@ def write_shards(docs: DataFrame, out: str, vocabulary: str = VOCABULARY, length
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         vocab = spark.sparkContext.broadcast(f.read())  # a vocabulary file, about 1 MB
-    block = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("tokens", pa.int32()), ("firsts", pa.list_(pa.int64())), ("ids", pa.binary())])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = scratch.keep(rows.mapInArrow(_packer(vocab, length, block), "part int, block int, n int, tokens int, firsts array<long>, ids binary"), "token-blocks")
+    kind, doc = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
+    block = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("tokens", pa.int32()), ("firsts", pa.list_(doc)), ("ids", pa.binary())])
+    rows = docs.select("doc_id", "text")
+    blocks = scratch.keep(rows.mapInArrow(_packer(vocab, length, block), f"part int, block int, n int, tokens int, firsts array<{kind}>, ids binary"), "token-blocks")
     bases, n = {}, 0
     for part, count in blocks.groupBy("part").agg(F.sum("n")).orderBy("part").collect():  # a row for each input partition
         bases[part] = n
         n += count
     shards = -(-n // per_shard)
-    dealt = blocks.mapInArrow(_dealer(spark.sparkContext.broadcast(bases), n, key, length, per_shard), "shard int, slots array<long>, numbers array<long>, used array<int>, firsts array<long>, ids binary")
-    written = dealt.repartitionById(max(1, shards), F.col("shard")).mapInArrow(_writer(out, n, length, per_shard), "slot long, sequence long, shard int, byte_offset long, n_tokens int, first_doc_id long, ids_sha256 string")
+    dealt = blocks.mapInArrow(_dealer(spark.sparkContext.broadcast(bases), n, key, length, per_shard, doc), f"shard int, slots array<long>, numbers array<long>, used array<int>, firsts array<{kind}>, ids binary")
+    written = dealt.repartitionById(max(1, shards), F.col("shard")).mapInArrow(_writer(out, n, length, per_shard, doc), f"slot long, sequence long, shard int, byte_offset long, n_tokens int, first_doc_id {kind}, ids_sha256 string")
     manifest = scratch.keep(written, "token-manifest")
     store, path = _store(out)
     store.create_dir(path, recursive=True)
