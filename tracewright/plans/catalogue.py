@@ -12,7 +12,7 @@ from .. import schema as S
 from ..functions import affinity as A
 from ..functions import anchors, gittext, ids, naming
 from ..functions.sqltext import condition_columns_udf, parse_sql
-from ..operators import build, bundle, callgraph, closure, deadcode, ingest, modules, relations, scan, trace, virtual_columns
+from ..operators import build, bundle, callfacts, callgraph, closure, deadcode, ingest, modules, relations, scan, trace, virtual_columns
 from ..sources import readers, sinks
 from ..storage import shared_folder
 from . import answers, shop
@@ -924,6 +924,15 @@ def _(spark, d):
     return modules.match_routes(urls, routes)
 
 
+def _write_facts(o, c):
+    """Direct writes of each customer's function, and a call for each order."""
+    k = F.col("o_orderkey")
+    functions = max(c.count(), 1)
+    calls = o.select(F.concat(F.lit("f"), "o_custkey").alias("caller_id"), F.concat(F.lit("f"), k * 7919 % functions).alias("callee_id"), (k % 9).alias("call_line"), F.array(F.concat(F.lit("T"), k % 3)).alias("arg_paths"), F.array(F.lit("x")).alias("arg_names"))
+    direct = c.select(F.concat(F.lit("f"), "c_custkey").alias("function_id"), F.concat(F.lit("T"), F.col("c_custkey") % 3, F.lit(".F")).alias("field_path"))
+    return direct, calls
+
+
 @query("indirect_writes", """
 WITH s AS (SELECT DISTINCT 'f' || o_custkey AS caller, 'f' || (o_orderkey * 7919 % (SELECT count(*) FROM customer)) AS callee, o_orderkey % 9 AS line, 'T' || (o_orderkey % 3) AS owner FROM orders),
 w AS (SELECT DISTINCT 'f' || c_custkey AS f, 'T' || (c_custkey % 3) || '.F' AS p FROM customer),
@@ -931,13 +940,73 @@ r(f, p) AS (SELECT f, p FROM w UNION SELECT s.caller, r.p FROM r JOIN s ON s.cal
 SELECT DISTINCT s.caller AS function_id, r.p AS field_path, s.line::BIGINT AS call_line, s.callee AS callee_id FROM r JOIN s ON s.callee = r.f AND s.owner || '.F' = r.p
 """)
 def _(spark, d):
-    o, c, k = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet"), F.col("o_orderkey")
-    functions = max(c.count(), 1)
-    calls = o.select(F.concat(F.lit("f"), "o_custkey").alias("caller_id"), F.concat(F.lit("f"), k * 7919 % functions).alias("callee_id"), (k % 9).alias("call_line"), F.array(F.concat(F.lit("T"), k % 3)).alias("arg_paths"), F.array(F.lit("x")).alias("arg_names"))
-    direct = c.select(F.concat(F.lit("f"), "c_custkey").alias("function_id"), F.concat(F.lit("T"), F.col("c_custkey") % 3, F.lit(".F")).alias("field_path"))
+    direct, calls = _write_facts(spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet"))
     return closure.indirect_writes(direct, calls)[1].select("function_id", "field_path", "call_line", "callee_id")
 
 
+_ARGUMENT_PLACES = "SELECT DISTINCT 'f' || o_custkey AS caller_id, 'f' || (o_orderkey * 7919 % greatest((SELECT count(*) FROM {customer}), 1)) AS callee_id, 'A' || (o_orderkey % 5) AS allocation FROM {orders}"
+_WRITER_PLACES = "SELECT 'f' || c_custkey AS callee_id, 'T' || (c_custkey % 3) || '.F' AS field_path, 'A' || (c_custkey % 7) AS allocation FROM {customer}"
+
+
+@query("indirect_writes_disjoint", f"""
+WITH a AS ({_ARGUMENT_PLACES.format(customer="customer", orders="orders")}), p AS ({_WRITER_PLACES.format(customer="customer")}),
+x AS (SELECT DISTINCT a.caller_id, p.callee_id, p.field_path FROM a JOIN p USING (callee_id) EXCEPT SELECT a.caller_id, a.callee_id, p.field_path FROM a JOIN p USING (callee_id, allocation)),
+s AS (SELECT DISTINCT 'f' || o_custkey AS caller, 'f' || (o_orderkey * 7919 % (SELECT count(*) FROM customer)) AS callee, o_orderkey % 9 AS line, 'T' || (o_orderkey % 3) AS owner FROM orders),
+w AS (SELECT DISTINCT 'f' || c_custkey AS f, 'T' || (c_custkey % 3) || '.F' AS p FROM customer),
+r(f, p) AS (SELECT f, p FROM w UNION SELECT s.caller, r.p FROM r JOIN s ON s.callee = r.f AND s.owner || '.F' = r.p WHERE (s.caller, s.callee, r.p) NOT IN (SELECT (caller_id, callee_id, field_path) FROM x))
+SELECT DISTINCT s.caller AS function_id, r.p AS field_path, s.line::BIGINT AS call_line, s.callee AS callee_id FROM r JOIN s ON s.callee = r.f AND s.owner || '.F' = r.p WHERE (s.caller, s.callee, r.p) NOT IN (SELECT (caller_id, callee_id, field_path) FROM x)
+""")
+def _(spark, d):
+    o, c = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet")
+    direct, calls = _write_facts(o, c)
+    excluded = closure.disjoint_writes(spark.sql(_ARGUMENT_PLACES, customer=c, orders=o), spark.sql(_WRITER_PLACES, customer=c))
+    return closure.indirect_writes(direct, calls, excluded)[1].select("function_id", "field_path", "call_line", "callee_id")
+
+
+_CALLS = "SELECT o_orderkey AS call_id, o_custkey % 50 AS callee, 'g' || (o_custkey % 50) AS callee_id, CASE WHEN o_orderkey % 6 <> 0 THEN 'r' || o_orderkey END AS result, CASE WHEN o_orderkey % 4 = 0 THEN 'I' || (o_custkey % 3) END AS interface, CASE WHEN o_orderkey % 4 = 0 THEN 'enum' END AS candidate_origin, CASE WHEN o_orderkey % 4 = 0 THEN CAST(0.7 AS DOUBLE) END AS confidence FROM {orders}"
+_ARGUMENTS = "SELECT l_orderkey AS call_id, l_linenumber - 1 AS position, 'v' || (l_partkey % 997) AS value, l_linestatus = 'F' AS is_const FROM {lineitem}"
+_EXTRACTS = "SELECT l_orderkey AS call_id, l_linenumber - 1 AS position, 'x' || l_orderkey || '.' || l_linenumber AS value FROM {lineitem} WHERE l_orderkey % 5 <> 0 AND l_linenumber <= 3"
+_PARAMETERS = "SELECT DISTINCT 'g' || (c_custkey % 50) AS func_id, n_nationkey AS position, 'p' || (c_custkey % 50) || '.' || n_nationkey AS value FROM {customer}, {nation} WHERE n_nationkey < 1 + c_custkey % 50 % 5"
+_RETURNS = "SELECT DISTINCT 'g' || (c_custkey % 50) AS func_id, r_regionkey AS statement, n_nationkey AS position, 'o' || (c_custkey % 50) || '.' || r_regionkey || '.' || n_nationkey AS value FROM {customer}, {nation}, {region} WHERE r_regionkey < 1 + c_custkey % 50 % 2 AND n_nationkey < 1 + c_custkey % 50 % 3"
+_SOURCES = dict(orders="orders", lineitem="lineitem", customer="customer", nation="nation", region="region")
+
+
+@query("value_flow", f"""
+WITH c AS ({_CALLS.format(**_SOURCES)}), a AS ({_ARGUMENTS.format(**_SOURCES)}), x AS ({_EXTRACTS.format(**_SOURCES)}), p AS ({_PARAMETERS.format(**_SOURCES)}), r AS ({_RETURNS.format(**_SOURCES)}),
+k AS (SELECT c.*, (SELECT max(r.position) FROM r WHERE r.func_id = c.callee_id) AS last, call_id IN (SELECT call_id FROM x) AS split FROM c WHERE result IS NOT NULL)
+SELECT a.value AS source_id, p.value AS target_id, 'argument' AS kind, interface, confidence FROM c JOIN a USING (call_id) JOIN p ON p.func_id = c.callee_id AND p.position = a.position + CASE WHEN interface IS NULL THEN 0 ELSE 1 END WHERE NOT is_const
+UNION SELECT r.value, result, 'returns', interface, confidence FROM k JOIN r ON r.func_id = callee_id WHERE last = 0 OR split
+UNION SELECT result, x.value, 'data_flows_to', interface, confidence FROM k JOIN x USING (call_id) WHERE interface IS NULL
+UNION SELECT r.value, x.value, 'returns', interface, confidence FROM k JOIN x USING (call_id) JOIN r ON r.func_id = callee_id AND r.statement = 0 AND r.position = x.position WHERE interface IS NOT NULL AND last > 0
+""", bare=True)
+def _(spark, d):
+    tables = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in _SOURCES}
+    facts = (spark.sql(q, **{t: v for t, v in tables.items() if f"{{{t}}}" in q}) for q in (_CALLS, _ARGUMENTS, _PARAMETERS, _RETURNS, _EXTRACTS))
+    return callfacts.value_flow(*facts).select("source_id", "target_id", "kind", "interface", "confidence")
+
+
+_LIBRARY_CALLS = "SELECT o_orderkey AS call_id, 'f' || o_custkey AS func_id, o_orderkey % 90 AS line, k AS key, 'ext:' || k AS callee_id FROM (SELECT *, CASE o_orderkey % 7 WHEN 0 THEN 'encoding/json.Unmarshal' WHEN 1 THEN 'fmt.Printf' WHEN 2 THEN 'net/http.(Request).FormValue' WHEN 3 THEN 'shop/audit.Mark' WHEN 4 THEN 'database/sql.(DB).Exec' WHEN 5 THEN 'shop/audit.None' ELSE 'net/http.(Request).ParseForm' END AS k FROM {orders}) o"
+_LIBRARY_ARGUMENTS = "SELECT l_orderkey AS call_id, l_linenumber - 1 AS position, CASE WHEN l_linestatus = 'O' THEN 'v' || l_partkey END AS value, CASE WHEN l_partkey % 3 > 0 THEN 'shop/a.T' || (l_partkey % 3) END AS type, 'i' || l_linenumber AS instance FROM {lineitem}"
+_LIBRARY_SPECS = "summaries:\n  - func: shop/audit.Mark\n    param_index: 2\n    reads: [Seen, By]\n    writes: [Seen]\n  - func: fmt.Printf\n    param_index: 3\n    reads: [Text]\n"
+
+
+@query("library_effects", f"""
+WITH c AS ({_LIBRARY_CALLS.format(orders="orders")}), a AS ({_LIBRARY_ARGUMENTS.format(lineitem="lineitem")}),
+s(key, first, field, access) AS (VALUES ('encoding/json.Unmarshal', 1, NULL, 'write'), ('fmt.Printf', 3, 'Text', 'read'), ('net/http.(Request).FormValue', 0, 'Form', 'read'), ('net/http.(Request).ParseForm', 0, 'Form', 'write'), ('shop/audit.Mark', 2, 'Seen', 'write'), ('shop/audit.Mark', 2, 'By', 'read')),
+o(owner, field) AS (VALUES ('shop/a.T1', 'Id'), ('shop/a.T1', 'Inner'), ('shop/a.T1', 'Inner.Size'), ('shop/a.T2', 'Size')),
+u AS (SELECT c.*, a.value, a.type, coalesce(s.field, o.field) AS field, s.access FROM c JOIN s USING (key) JOIN a ON a.call_id = c.call_id AND a.position >= s.first LEFT JOIN o ON s.field IS NULL AND o.owner = a.type WHERE coalesce(s.field, o.field) IS NOT NULL),
+n AS (SELECT *, func_id || '#ext.' || CASE WHEN type IS NULL THEN field ELSE type || '.' || regexp_extract(field, '([^.]*)$', 1) END || '.' || access || '@' || line AS id FROM u)
+SELECT callee_id AS source_id, id AS target_id, 'summary_io' AS kind FROM n UNION SELECT func_id, id, 'indirect_write' FROM n WHERE access = 'write'
+UNION SELECT value, id, 'data_flows_to' FROM n WHERE access = 'write' AND value IS NOT NULL UNION SELECT id, value, 'data_flows_to' FROM n WHERE access = 'read' AND value IS NOT NULL
+""", bare=True)
+def _(spark, d):
+    specs = callfacts.with_user_specs(callfacts.library(spark), readers.field_summaries(spark, _LIBRARY_SPECS))
+    calls = spark.sql(_LIBRARY_CALLS, orders=spark.read.parquet(f"{d}/orders.parquet"))
+    own = spark.createDataFrame([("shop/a.T1", "Id", "int"), ("shop/a.T1", "Inner", "shop/a.T2"), ("shop/a.T2", "Size", "int")], "owner string, name string, type string")
+    arguments = spark.sql(_LIBRARY_ARGUMENTS, lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    return callfacts.argument_effects(callfacts.known_calls(calls, specs), arguments, closure.owned_fields(own))[1].select("source_id", "target_id", "kind")
+
+
 @query("may_alias", """
 WITH e AS (SELECT source_id AS a, target_id AS b FROM g_edges WHERE kind IN ('data_flows_to', 'argument', 'returns')),
 r(value, allocation, d) AS (SELECT id, id, 0 FROM g_nodes WHERE kind = 'ssa_value' UNION SELECT e.b, r.allocation, d + 1 FROM r JOIN e ON e.a = r.value WHERE d < 20)

@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         made = context._jsc.sc().getCheckpointDir()
         if made.isEmpty():
-            if not context.master.startswith("local"):
+            if context.master.split("[")[0] != "local":
                 raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
             made = context._jsc.sc().getCheckpointDir()
