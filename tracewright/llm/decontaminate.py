@@ -139,6 +139,7 @@ def _scanner(windows, cut: bool):
 
     @F.arrow_udf(HITS)
     def scan(column: pa.Array, earlier: pa.Array) -> pa.Array:
+        W.let_go()
         texts, before = W.texts_of(column), earlier.to_pylist()
         counts, spans, items, cuts = [], [], [], []
         for i, j in W.slices(texts):

@@ -108,7 +108,7 @@ def _features(n: int):
                     bands.append(known.get(key))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("row_key").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "set_key", "bands"])
 
-    return run
+    return W.tidy(run)
 
 
 def _sets(n: int):
@@ -126,7 +126,7 @@ def _sets(n: int):
                         shingles.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(rows, pa.int64())), pa.array(shingles, pa.binary())], ["node", "shingles"])
 
-    return run
+    return W.tidy(run)
 
 
 def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -151,7 +151,7 @@ def _stars(percent: int):
                     b.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return W.tidy(run)
 
 
 def linked_groups(sets: list[np.ndarray], percent: int) -> list[list[int]]:
@@ -216,7 +216,7 @@ def _verify(percent: int):
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return run
+    return W.tidy(run)
 
 
 def _star_links(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -177,7 +177,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def corpus_sums(docs: DataFrame) -> np.ndarray:
     """context_sums of all documents."""
-    part = docs.select("text").mapInArrow(_sums, ", ".join(f"{c} long" for c in ["word", *_SUMS]))
+    part = docs.select("text").mapInArrow(W.tidy(_sums), ", ".join(f"{c} long" for c in ["word", *_SUMS]))
     rows = part.groupBy("word").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()  # at most WORDS rows
     out = np.zeros((WORDS, DIM))
     for r in rows:
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(featured, f"doc_id {kind}, label int, x binary").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    rows = texts.mapInArrow(W.tidy(featured), f"doc_id {kind}, label int, x binary").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows]).reshape(len(rows), DIM + SHAPE_DIM + 3)
     return train(x, np.array([r[1] for r in rows]), vectors)
 
@@ -235,6 +235,7 @@ def _accepts(model, threshold: float):
 
     @F.arrow_udf("boolean")
     def accepts(column: pa.Array) -> pa.Array:
+        W.let_go()
         texts = W.texts_of(column)
         return pa.array([bool(ok) for i, j in W.slices(texts) for ok in model.value.scores(pooled(texts.slice(i, j - i), model.value.vectors)) >= threshold], pa.bool_())
 

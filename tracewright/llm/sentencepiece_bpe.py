@@ -36,6 +36,7 @@ REMEMBERED = 250_000
 SPACE = "▁"
 SHORT = 48
 PART = 50_000
+SLICE_BYTES = 250_000  # a chunk is an object here, so a slice takes many times its bytes
 NONE = 1 << 30
 UNSEEN, ALONE = -1, -2  # instead of a state: not yet remembered; to be merged by itself
 _M = (1 << 64) - 1
@@ -408,15 +409,9 @@ class Encoder:
         return self.encode_many([text], [doc_id])[0]
 
 
-_ready: dict[tuple, Encoder] = {}
-
-
 def _encoder(model, dropout: float, seed: int) -> Encoder:
     name = (hashlib.md5(model.value, usedforsecurity=False).digest(), dropout, seed)
-    if name not in _ready:
-        _ready.clear()
-        _ready[name] = Encoder(Pieces(model.value), dropout, seed)
-    return _ready[name]
+    return W.kept(name, lambda: Encoder(Pieces(model.value), dropout, seed))
 
 
 def _runner(model, dropout: float, seed: int):
@@ -424,7 +419,7 @@ def _runner(model, dropout: float, seed: int):
         encoder = _encoder(model, dropout, seed)
         for batch in batches:
             texts = W.texts_of(batch.column("text"))
-            for i, j in W.slices(texts):
+            for i, j in W.slices(texts, SLICE_BYTES):
                 ids, counts, digests, same = [], [], [], []
                 listed = texts.slice(i, j - i).to_pylist()
                 for text, own in zip(listed, encoder.encode_many(listed, batch.column("draw").slice(i, j - i).to_pylist()), strict=True):
@@ -435,7 +430,7 @@ def _runner(model, dropout: float, seed: int):
                     same.append(back == text.encode())
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, j - i), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["row", "ids", "n_pieces", "decoded_sha256", "lossless"])
 
-    return run
+    return W.tidy(run, forget=False)
 
 
 def encode(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:

@@ -88,7 +88,7 @@ def _features(window: int, run: int):
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return scan
+    return W.tidy(scan)
 
 
 def _packer(window: int):
@@ -116,7 +116,7 @@ def _packer(window: int):
                 rows = [{"minimiser": m, "packed": text, "least": min(o[0] for o in own), "most": max(o[0] for o in own), "places": [{"doc_id": o[0], "row_key": o[1], "first": o[2]} for o in own]} for (m, text), own in found.items()]
                 yield pa.RecordBatch.from_pylist(rows, schema=_PACKED(batch.schema.field("doc_id").type))
 
-    return pack
+    return W.tidy(pack)
 
 
 def _PACKED(doc: pa.DataType) -> pa.Schema:
@@ -176,7 +176,7 @@ def _bucket(window: int):
         if held:
             yield from _parts(pa.Table.from_batches(held), answer)
 
-    return run
+    return W.tidy(run)
 
 
 def _parts(rows: pa.Table, answer) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _window_hashes(window: int):
                 columns["hashes"] = _lists(hashes, owner, words.n_texts, pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return run
+    return W.tidy(run)
 
 
 def _cut_out(window: int, single: bool):
@@ -238,7 +238,7 @@ def _cut_out(window: int, single: bool):
             if owner:
                 yield made()
 
-    return run
+    return W.tidy(run)
 
 
 def _heavy_answers(strings: DataFrame, kind: str, window: int) -> DataFrame:
@@ -324,7 +324,7 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     the others, joined by one space; a document that loses all its words goes; any other text stays as it is."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     _, losing = find(docs, window)
-    cut = scratch.keep(losing.mapInArrow(_cutter, f"doc_id {kind}, row_key long, new_text string"), "sub-cut")
+    cut = scratch.keep(losing.mapInArrow(W.tidy(_cutter), f"doc_id {kind}, row_key long, new_text string"), "sub-cut")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("row_key"))
     joined = rows.join(cut, ["doc_id", "row_key"], "left").where("new_text is null or new_text <> ''")
     text = F.coalesce("new_text", "row.text")
@@ -336,7 +336,7 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows, losing = find(docs)
-    removed = losing.mapInArrow(_digester, f"doc_id {kind}, row_key long, n_removed long, sha256 string")
+    removed = losing.mapInArrow(W.tidy(_digester), f"doc_id {kind}, row_key long, n_removed long, sha256 string")
     joined = rows.join(removed, ["doc_id", "row_key"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha256", "whole_sha256").alias("kept_sha256"))
 

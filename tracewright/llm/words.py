@@ -8,8 +8,9 @@ Null texts count as empty; texts of any length are handled whole.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,40 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1_000_000
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What `make` gives, kept in this worker for later tasks. Anything else that was kept is let go first."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Forget what is kept. A worker outlives a stage, and would hold one operator's tables beside another's rows."""
+    _kept.clear()
+
+
+def trim() -> None:
+    """Give free memory back to the system: a worker waits between tasks while its executor joins and sorts."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+def tidy(run: Callable, forget: bool = True) -> Callable:
+    """`run`, a function over a task's batches, without others' tables when it begins and without free memory when it has ended."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget:
+            let_go()
+        yield from run(batches)
+        trim()
+
+    return task
 
 
 def _byte_class(is_word) -> np.ndarray:
