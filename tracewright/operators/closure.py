@@ -44,16 +44,24 @@ def indirect_writes(direct: DataFrame, calls: DataFrame, excluded: DataFrame | N
 
 def may_alias(allocations: DataFrame, flows: DataFrame, rounds: int = 20) -> DataFrame:
     """value, allocation: all allocations that a value may point to. allocations: value, allocation. flows: src, dst (assignments,
-    arguments to parameters, returns to results). `rounds` bounds the hops, as in the extractor."""
-    level = keep(allocations.select("value", "allocation").distinct(), "alias")
-    known, steps = level, flows.select("src", "dst").distinct()
+    arguments to parameters, returns to results). `rounds` bounds the hops, as in the extractor. The rounds run on numbers, so that what
+    each of them moves does not grow with the length of the ids."""
+    ids_ = allocations.select(F.explode(F.array("value", "allocation")).alias("id")).unionByName(flows.select(F.explode(F.array("src", "dst")).alias("id"))).where("id is not null").distinct()
+    places = keep(ids_.withColumn("n", F.monotonically_increasing_id()), "alias-places")
+
+    def swap(df: DataFrame, end: str, have: str, want: str) -> DataFrame:
+        return df.join(places.select(F.col(have).alias(end), F.col(want).alias("_swapped")), end, "left").drop(end).withColumnRenamed("_swapped", end)
+
+    level = keep(swap(swap(allocations.select("value", "allocation").distinct(), "value", "id", "n"), "allocation", "id", "n"), "alias")
+    steps = keep(swap(swap(flows.select("src", "dst").distinct(), "src", "id", "n"), "dst", "id", "n"), "alias-steps")
+    known = level
     for _ in range(rounds):
         new = level.join(steps, level["value"] == steps["src"]).select(F.col("dst").alias("value"), "allocation").distinct()
         level = keep(new.join(known, ["value", "allocation"], "left_anti"), "alias")
         if level.isEmpty():
             break
-        known = known.unionByName(level)
-    return known
+        known = known.unionByName(level.select(known.columns))
+    return swap(swap(known, "value", "n", "id"), "allocation", "n", "id").select("value", "allocation")
 
 
 def alias_pairs(points: DataFrame) -> DataFrame:
